@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, token_counts
+from quillmark.llm import bpe, substring_dedup, token_counts
 from quillmark.llm.runtime import table
 
 
@@ -31,6 +31,12 @@ def ids_sha256(ids: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer(BYTE_BPE)
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -48,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op10_token_counts": op10_token_counts,
 }
