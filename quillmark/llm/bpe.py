@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from quillmark.llm.bpe_model import MergeModel
 from quillmark.llm.runtime import slices
 
 #: Pieces that a worker remembers before it forgets those met once.
-PIECES = 300_000
+PIECES = 200_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 4 << 20
 
@@ -188,9 +189,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                ids = encoder(path).encode(texts[a:b])
+            texts = batch.column(1)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
+                ids = encoder(path).encode(texts.slice(a, b - a).to_pylist())
                 at = np.cumsum([0] + [len(x) for x in ids])
                 column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=[id_col, "ids"])
@@ -219,3 +220,29 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, text): token ids as packed little-endian unsigned 32-bit integers, and their decoded text.
+
+    Encoding and decoding share a worker process, so that an executor holds one vocabulary a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            for a, b in slices(pc.binary_length(column).to_pylist(), SLICE_BYTES):
+                ids = encoder(path).encode(column.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                        pa.array([decode_ids(x, path) for x in ids], pa.string()),
+                    ],
+                    names=[id_col, "n_tokens", "ids", "text"],
+                )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, text string")

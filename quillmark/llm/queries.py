@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +19,6 @@ def tokenizer(name: str) -> str:
 BYTE_BPE, WORD_BPE, TOKEN_LIMIT = "byte_bpe_50k.json", "word_bpe_49k.json", 2048
 
 
-@F.arrow_udf("string")
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Lowercase hex SHA-256 of token ids as little-endian unsigned 32-bit integers."""
-    flat = np.asarray(ids.flatten()).astype("<u4")
-    at = np.cumsum([0, *ids.value_lengths().to_pylist()])
-    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string())
-
-
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -38,12 +26,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer(BYTE_BPE)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.decode(encoded, path).select(
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256("ids").alias("ids_sha256"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
