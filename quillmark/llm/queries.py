@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, substring_dedup, token_counts
+from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, substring_dedup, token_counts, url_filters
+from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.llm.runtime import table
 
 
@@ -19,12 +20,20 @@ def tokenizer(name: str) -> str:
 BYTE_BPE, WORD_BPE, TOKEN_LIMIT = "byte_bpe_50k.json", "word_bpe_49k.json", 2048
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return coded.select(
@@ -35,14 +44,59 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def dated_list(captures: DataFrame) -> DataFrame:
+    """A list to judge the pages by, as a rule over their hosts and parent domains.
+
+    A domain is listed if its MD5 begins with 0 or 1. Three further digits of it set the day of 2024 on which it is
+    added; domains whose MD5 begins with 1 are removed after 30 days and added again after 60.
+    """
+    hosts = captures.select(url_filters.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    domains = hosts.union(hosts.select(F.expr("substring_index(host, '.', -2)"))).distinct()
+    digest = domains.select(F.col("host").alias("domain"), F.md5("host").alias("m")).where("m < '2'")
+    day = F.expr("timestamp'2024-01-01' + make_dt_interval(cast(conv(substring(m, 2, 3), 16, 10) as int) % 366)")
+    again = "array(struct('add' as action, 0 as d), struct('remove' as action, 30 as d), struct('add' as action, 60 as d))"
+    steps = digest.select("domain", day.alias("day"), F.explode(F.expr(f"if(m < '1', slice({again}, 1, 1), {again})")).alias("x"))
+    return steps.select("domain", "x.action", F.expr("day + make_dt_interval(x.d)").alias("since"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of their own: page_id hours after the start of 2024, over and over, stands for it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr("timestamp'2024-01-01' + make_dt_interval(0, cast(page_id % 8784 as int))")
+    judged = url_filters.judge(pages.withColumn("fetched", fetched), dated_list(pages))
+    return judged.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"), "blocked", "entry")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_url_filters": op7_url_filters,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
