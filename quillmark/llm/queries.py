@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, substring_dedup, token_counts, url_filters
+from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, url_filters
 from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.llm.runtime import table
 
@@ -44,6 +44,19 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.expr("filter(findings, f -> f.kind <> 'random')")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
+
+    counts = [F.size(F.expr(f"filter(findings, f -> f.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans")
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
@@ -95,6 +108,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_secret_scans": op5_secret_scans,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
