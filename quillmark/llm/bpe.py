@@ -222,8 +222,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, text): token ids as packed little-endian unsigned 32-bit integers, and their decoded text.
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False
+) -> DataFrame:
+    """(id, n_tokens, ids, text): token ids and their decoded text.
+
+    ``ids`` is an array, or if ``packed`` the ids as little-endian unsigned 32-bit integers.
 
     Encoding and decoding share a worker process, so that an executor holds one vocabulary a task.
     """
@@ -233,11 +237,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             column = batch.column(1)
             for a, b in slices(pc.binary_length(column).to_pylist(), SLICE_BYTES):
                 ids = encoder(path).encode(column.slice(a, b - a).to_pylist())
+                n = [len(x) for x in ids]
+                if packed:
+                    found = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+                else:
+                    flat = pa.array(np.concatenate(ids), pa.int32())
+                    found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                        pa.array(n, pa.int64()),
+                        found,
                         pa.array([decode_ids(x, path) for x in ids], pa.string()),
                     ],
                     names=[id_col, "n_tokens", "ids", "text"],
@@ -245,4 +255,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, text string")
+    ids_kind = "binary" if packed else "array<int>"
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids {ids_kind}, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, url_filters
+from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
 from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.llm.runtime import table
 
@@ -35,7 +35,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), packed=True)
     return coded.select(
         "doc_id",
         "n_tokens",
@@ -86,6 +86,19 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"), "blocked", "entry")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows whose labels are never learned."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -111,6 +124,7 @@ QUERIES = {
     "op5_secret_scans": op5_secret_scans,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
 }
