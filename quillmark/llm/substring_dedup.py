@@ -13,7 +13,8 @@ Equal windows have equal keys, so a key's count is at least its windows' counts.
    all blocks of a key agree nothing is left to do; elsewhere the windows of one
    block of each kind are grouped. Groups are keyed by 128 bits of hashes and only
    their smallest document id is taken, so hot windows pre-aggregate.
-3. Marks return to the documents, which drop every covered word.
+3. Runs of marked windows return to the documents (broadcast if they are few), which
+   add the windows that repeat within themselves and drop every covered word.
 
 Defined cases: words are runs of anything but space and \\t..\\r; a null or empty
 text has no words; texts shorter than a window keep all words. A row without an
@@ -43,6 +44,8 @@ PAGE = 1 << 16
 SLICE_BYTES = 8 << 20
 #: Key occurrences that a task holds before it writes out what it has counted.
 HELD = 1 << 20
+#: Runs of marked windows that are broadcast at most: about 50 MB.
+MOST_RUNS = 4_000_000
 
 _B1, _B2, _B3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25), np.uint64(0x165667B19E3779F9)
 _PLACE = np.uint64((1 << 28) - 1)
@@ -160,15 +163,15 @@ def repeated_bits(docs: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def _repeats_within(b: Blocks, kept: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats_within(b: Blocks, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, window) of windows that begin earlier in the same text."""
-    order = np.lexsort((b.key[kept], b.text[kept]))
-    text, key = b.text[kept][order], b.key[kept][order]
+    order = np.lexsort((b.key, b.text))
+    text, key = b.text[order], b.key[order]
     same = (text[1:] == text[:-1]) & (key[1:] == key[:-1])
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    some = kept[order[twice]]
+    some = order[twice]
     n = b.count[some]
     window = np.repeat(b.start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     text = np.repeat(b.text[some], n)
@@ -179,9 +182,9 @@ def _repeats_within(b: Blocks, kept: np.ndarray, h: np.ndarray) -> tuple[np.ndar
 
 
 def candidates(docs: DataFrame, size: int) -> DataFrame:
-    """Blocks with a key estimated as repeated, and (``here``) windows that repeat within their text.
+    """Blocks with a key estimated as repeated: (key, kind, windows, doc_id, start).
 
-    Columns: key, kind (hash of the block's windows), windows (their hashes), doc_id, start, n, here.
+    ``windows`` holds the hashes of the block's windows, eight bytes each, and ``kind`` is a hash of them.
     """
     bits, repeated = repeated_bits(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
@@ -194,9 +197,7 @@ def candidates(docs: DataFrame, size: int) -> DataFrame:
             for a, z in slices([len(t) for t in texts], SLICE_BYTES):
                 b = Blocks(texts[a:z], size, True)
                 one, two = _counters(b.key, bits)
-                kept = np.flatnonzero(
-                    (seen[one >> 3] >> (one & 7)) & (seen[two >> 3] >> (two & 7)) & np.uint8(1)
-                )
+                kept = np.flatnonzero((seen[one >> 3] >> (one & 7)) & (seen[two >> 3] >> (two & 7)) & np.uint8(1))
                 if not len(kept):
                     continue
                 h = b.window_hash(size)
@@ -205,56 +206,56 @@ def candidates(docs: DataFrame, size: int) -> DataFrame:
                 within = np.arange(int(n.sum())) - np.repeat(at, n)
                 hashes = h[np.repeat(start, n) + within]
                 kind = mix(np.add.reduceat(hashes * powers(_B3, int(n.max()))[within], at) + n.astype(np.uint64))
-                text, window = _repeats_within(b, kept, h)
-                own = ids[a:z]
-                m = len(text)
-                offset = pa.py_buffer(np.append(at, len(hashes)).astype(np.int64) * 8)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(kept), [None, offset, pa.py_buffer(hashes)])
+                offset = pa.py_buffer(np.append(at, len(hashes)).astype(np.int32) * np.int32(8))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.append(b.key[kept].view(np.int64), np.zeros(m, np.int64))),
-                        pa.array(np.append(kind.view(np.int64), np.zeros(m, np.int64))),
-                        pa.concat_arrays([packed.cast(pa.binary()), pa.array([b""] * m, pa.binary())]),
-                        pa.array(np.append(own[b.text[kept]], own[text])),
-                        pa.array(np.append(start - b.first[b.text[kept]], window - b.first[text]), pa.int32()),
-                        pa.array(np.append(n, np.ones(m, np.int64)), pa.int32()),
-                        pa.array(np.append(np.zeros(len(kept), bool), np.ones(m, bool))),
+                        pa.array(b.key[kept].view(np.int64)),
+                        pa.array(kind.view(np.int64)),
+                        pa.Array.from_buffers(pa.binary(), len(kept), [None, offset, pa.py_buffer(hashes.byteswap())]),
+                        pa.array(ids[a:z][b.text[kept]]),
+                        pa.array(start - b.first[b.text[kept]], pa.int32()),
                     ],
-                    names=["key", "kind", "windows", "doc_id", "start", "n", "here"],
+                    names=["key", "kind", "windows", "doc_id", "start"],
                 )
 
-    schema = "key bigint, kind bigint, windows binary, doc_id bigint, start int, n int, here boolean"
-    return docs.mapInArrow(find, schema)
-
-
-def _split_windows(blocks: DataFrame) -> DataFrame:
-    """(key, hash, doc_id, start): a row for each window of the blocks."""
-    i = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
-    each = blocks.select("key", "windows", "doc_id", "start", i)
-    return each.select("key", F.expr("substring(windows, 8 * i + 1, 8)").alias("hash"), "doc_id", (F.col("start") + F.col("i")).alias("start"))
+    return docs.mapInArrow(find, "key bigint, kind bigint, windows binary, doc_id bigint, start int")
 
 
 def marks(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, start, n): runs of n windows, from word ``start``, that all occur earlier."""
-    found = checkpoint(candidates(docs, size))
-    blocks = found.where("not here")
-    kinds = checkpoint(blocks.groupBy("key", "kind").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    copies = (
-        blocks.select("key", "kind", "doc_id", "start", "n")
-        .join(kinds.where("times > 1").select("key", "kind", "first"), ["key", "kind"])
-        .where("doc_id > first")
-        .select("doc_id", "start", "n")
+    """(doc_id, runs): runs (start, n) of n windows, from word ``start``, that occur in a document of a smaller id."""
+    blocks = candidates(docs, size)
+    kinds = blocks.groupBy("key", "kind").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    wanted = kinds.join(many, "key").where("times > 1 or kinds > 1").select("key", "kind", "first", "kinds")
+    found = blocks.join(wanted, ["key", "kind"])
+    n = F.expr("cast(octet_length(windows) div 8 as int)")
+    copies = found.where("doc_id > first").select("doc_id", "start", n.alias("n"))
+    # one block of each kind stands for its windows, where the blocks of a key differ
+    own = found.where("doc_id = first and kinds > 1").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    hashed = F.expr("cast(conv(hex(substring(windows, 8 * i + 1, 8)), 16, -10) as bigint)").alias("hash")
+    each = own.select("key", hashed, "doc_id", (F.col("start") + F.col("i")).alias("start"))
+    earliest = each.groupBy("key", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    windows = each.join(earliest.where("first < last").drop("last"), ["key", "hash"]).where("doc_id > first")
+    runs = copies.union(windows.select("doc_id", "start", F.lit(1).alias("n")))
+    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")).mapInArrow(
+        _merge_runs, "doc_id bigint, runs array<struct<start int, n int>>"
     )
-    firsts = kinds.join(mixed, "key").select("key", "kind", F.col("first").alias("doc_id"))
-    each = _split_windows(blocks.join(firsts, ["key", "kind", "doc_id"]))
-    earliest = each.groupBy("key", "hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1")
-    windows = (
-        each.join(earliest, ["key", "hash"])
-        .where("doc_id > first")
-        .select("doc_id", "start", F.lit(1).alias("n"))
-    )
-    return copies.union(windows).union(found.where("here").select("doc_id", "start", "n"))
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adjoining and overlapping runs become one."""
+    for batch in batches:
+        out = []
+        for runs in batch.column(1):
+            start = np.asarray(runs.values.field("start"), np.int64)
+            order = np.argsort(start, kind="stable")
+            start = start[order]
+            end = np.maximum.accumulate(start + np.asarray(runs.values.field("n"))[order])
+            new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+            last = end[np.append(new[1:] - 1, len(end) - 1)]
+            out.append([{"start": int(a), "n": int(b - a)} for a, b in zip(start[new], last, strict=True)])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "runs"])
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -263,28 +264,38 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     ``kept`` joins with single spaces the words that no window covers whose words also start earlier.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = marks(rows.where("doc_id is not null"), size)
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = checkpoint(marks(rows.where("doc_id is not null"), size))
+    if (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= MOST_RUNS:
+        runs = F.broadcast(runs)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = text.encode().split()
-                n = 0
-                if runs.is_valid and len(runs):
-                    start = np.asarray(runs.values.field("start"), np.int64)
-                    cover = np.zeros(len(found) + 1, np.int64)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + np.asarray(runs.values.field("n")) + size - 1, -1)
-                    cover = np.cumsum(cover)[:-1] > 0
-                    n = int(cover.sum())
-                    left = [w for w, c in zip(found, cover.tolist(), strict=True) if not c]
-                else:
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            for a, z in slices([len(t) for t in texts], SLICE_BYTES):
+                b = Blocks(texts[a:z], size, True)
+                text, window = _repeats_within(b, b.window_hash(size)) if len(b.key) else (b.text, b.start)
+                order = np.argsort(text, kind="stable")
+                text, window = text[order], window[order]
+                for d in range(a, z):
+                    found = texts[d].split()
+                    lo, hi = np.searchsorted(text, [d - a, d - a + 1])
+                    start = window[lo:hi] - b.first[d - a] if hi > lo else np.empty(0, np.int64)
+                    end = start + size
+                    runs = batch.column(2)[d]
+                    if runs.is_valid:
+                        own = np.asarray(runs.values.field("start"), np.int64)
+                        start = np.append(start, own)
+                        end = np.append(end, own + np.asarray(runs.values.field("n")) + size - 1)
                     left = found
-                total.append(len(found))
-                gone.append(n)
-                kept.append(b" ".join(left))
+                    if len(start):
+                        cover = np.zeros(len(found) + 1, np.int64)
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, end, -1)
+                        left = [w for w, c in zip(found, np.cumsum(cover)[:-1].tolist(), strict=True) if not c]
+                    total.append(len(found))
+                    gone.append(len(found) - len(left))
+                    kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
