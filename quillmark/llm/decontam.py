@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     items = benchmark.select("item_id", folded_words(F.col("text")).alias("w")).where("size(w) > 0")
     items = _hashed(items, list(range(1, size + 1)))
     own = F.expr(f"filter(windows, x -> x.size = least({size}, size(w)))")
-    each = items.select("item_id", "w", F.explode(own).alias("x"))
+    each = items.select("item_id", "w", F.explode_outer(own).alias("x")).where("x is not null")
     return each.select(
         "item_id", "x.size", "x.hash", F.expr("array_join(slice(w, x.start + 1, x.size), ' ')").alias("words")
     ).distinct()
@@ -68,7 +68,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataF
         F.monotonically_increasing_id().alias("row"), "doc_id", folded_words(F.col("text")).alias("w")
     )
     whole = F.expr("array(struct(cast(null as int) as size, -1 as start, cast(null as bigint) as hash))")
-    each = _hashed(rows, sizes).select("row", "doc_id", "w", F.explode(F.concat(whole, "windows")).alias("x"))
+    each = _hashed(rows, sizes).select("row", "doc_id", "w", F.explode_outer(F.concat(whole, "windows")).alias("x"))
     each = each.select("row", "doc_id", "w", "x.size", "x.start", "x.hash")
     found = each.join(known, ["size", "hash"], "left").where("size is null or gram is not null")
     found = found.select(

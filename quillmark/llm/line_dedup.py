@@ -24,8 +24,8 @@ from quillmark.llm.runtime import checkpoint
 #: Low bits of a chunk's key that hold its place in the document; the others are of its hash.
 PLACE_BITS = 28
 KEYS = f"transform(chunks, (c, i) -> shiftleft(xxhash64(c), {PLACE_BITS}) | cast(i as bigint))"
-KEY = F.expr(f"shiftleft(hash, {PLACE_BITS}) | cast(ix as bigint)")
-PLACE = F.struct("doc_id", "ix")
+KEY = f"shiftleft(hash, {PLACE_BITS}) | cast(ix as bigint)"
+PLACE = "struct(doc_id, ix)"
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -48,24 +48,27 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, keys): per document the keys of its chunks that occur earlier."""
     live = docs.where("doc_id is not null").select("doc_id", "text")
-    each = with_chunks(live).select("doc_id", F.posexplode("chunks").alias("ix", "c"))
+    # outer, as a filter on the size of the array would be pushed through all that makes it
+    each = with_chunks(live).select("doc_id", F.posexplode_outer("chunks").alias("ix", "c"))
     each = each.where(F.col("c").contains("\n") & F.col("c").rlike(r"\S"))
     each = checkpoint(each.select("doc_id", "ix", F.xxhash64("c").alias("hash")))
-    groups = each.groupBy("hash").agg(F.min(PLACE).alias("first"), F.count("*").alias("times")).where("times > 1")
+    groups = each.groupBy("hash").agg(F.min(F.expr(PLACE)).alias("first"), F.count("*").alias("times")).where("times > 1")
     found = each.join(groups.select("hash", "first"), "hash")
     # the bytes of all chunks in groups, read once a document
-    wanted = found.groupBy("doc_id").agg(F.collect_set(KEY).alias("keys"))
+    wanted = found.groupBy("doc_id").agg(F.collect_set(F.expr(KEY)).alias("keys"))
     texts = with_chunks(live.join(wanted, "doc_id"))
     places = F.expr(f"transform(array_intersect({KEYS}, keys), k -> cast(k & {(1 << PLACE_BITS) - 1} as int))")
-    texts = texts.withColumn("places", places).select("doc_id", F.explode(F.expr("transform(places, i -> struct(i as ix, chunks[i] as c))")).alias("x"))
-    texts = texts.select("doc_id", "x.ix", F.xxhash64("x.c").alias("hash"), "x.c")
+    texts = texts.withColumn("places", places).select("doc_id", F.explode_outer(F.expr("transform(places, i -> struct(i as ix, chunks[i] as c))")).alias("x"))
+    texts = texts.select("doc_id", "x.ix", F.xxhash64("x.c").alias("hash"), "x.c").where("c is not null")
     sides = texts.groupBy("hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     verdict = checkpoint(sides.select("hash", (F.col("lo") == F.col("hi")).alias("same")))
-    plain = found.join(verdict.where("same"), "hash").where(PLACE != F.col("first")).select("doc_id", "ix", "hash")
+    plain = found.join(verdict.where("same"), "hash").where(f"{PLACE} <> first").select("doc_id", "ix", "hash")
+    if verdict.where("not same").isEmpty():
+        return plain.groupBy("doc_id").agg(F.collect_set(F.expr(KEY)).alias("keys"))
     mixed = texts.join(verdict.where("not same").select("hash"), "hash")
-    firsts = mixed.groupBy("hash", "c").agg(F.min(PLACE).alias("first"))
-    split = mixed.join(firsts, ["hash", "c"]).where(PLACE != F.col("first")).select("doc_id", "ix", "hash")
-    return plain.union(split).groupBy("doc_id").agg(F.collect_set(KEY).alias("keys"))
+    firsts = mixed.groupBy("hash", "c").agg(F.min(F.expr(PLACE)).alias("first"))
+    split = mixed.join(firsts, ["hash", "c"]).where(f"{PLACE} <> first").select("doc_id", "ix", "hash")
+    return plain.union(split).groupBy("doc_id").agg(F.collect_set(F.expr(KEY)).alias("keys"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
