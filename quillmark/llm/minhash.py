@@ -14,9 +14,11 @@ Documents with the same words form a class; only class representatives (smallest
 ids) are compared. Signatures are cut into bands; documents that share a band are
 candidates, and every link is verified on the full multisets. Candidates are
 taken in two rounds, so that a group is never expanded into all its pairs: first
-each document is held against one document of its bands, then, within bands that
-still hold several components, pairs of different components whose signatures
-agree often enough. Large bands are dealt out in blocks.
+each document is held against one document of its bands. In bands that still hold
+several components, signatures tell which components may be linked; documents of
+such components come together once, and pairs of different components whose
+signatures agree often enough are verified there. Large bands and groups are dealt
+out in blocks, of which every two meet, and a task returns a spanning forest.
 
 Defined cases: words are lower-cased ASCII letters and digits and non-ASCII
 characters. Documents without any word are copies of each other, save that a null
@@ -160,42 +162,96 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(bands: DataFrame) -> DataFrame:
-    """(a, b): pairs of a band, of different components, whose signatures agree in LEAST_AGREEING coordinates.
+class Forest:
+    """Union-find over few numbered things; ``join`` tells whether two were apart."""
 
-    ``bands`` is (band, id, component, signature). A pair comes from the first band that it shares.
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.root[i] = j
+        return i != j
+
+
+def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` with columns i, j, own: every two blocks of a key's rows meet in one group (key, i, j)."""
+    rows = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, others): rows of other components, after row x, whose signatures agree in LEAST_AGREEING coordinates."""
+    sig = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), K)
+    component, own = group["component"].to_numpy(), group["own"].to_numpy()
+    across = group["i"].iat[0] != group["j"].iat[0]
+    for x in range(len(group) - 1):
+        rest = np.arange(x + 1, len(group))
+        rest = rest[(component[rest] != component[x]) & ((own[rest] != own[x]) | (not across))]
+        if len(rest):
+            rest = rest[(sig[rest] == sig[x]).sum(axis=1) >= LEAST_AGREEING]
+            if len(rest):
+                yield x, rest
+
+
+def _maybe_linked(bands: DataFrame) -> DataFrame:
+    """(a, b): components that may be linked; of each block of a band a spanning forest.
+
+    ``bands`` is (band, id, component, signature).
     """
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = bands.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature"
-    )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), K)
-        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
-        band, own = group["band"].iat[0], group["own"].to_numpy()
-        across = group["i"].iat[0] != group["j"].iat[0]
-        found = []
-        for x in range(len(group)):
-            rest = np.arange(x + 1, len(group))
-            rest = rest[(component[rest] != component[x]) & ((own[rest] != own[x]) | (not across))]
-            equal = sig[rest] == sig[x]
-            some = equal.sum(axis=1) >= LEAST_AGREEING
-            rest, equal = rest[some], equal[some]
-            shared = equal.reshape(len(rest), BANDS, ROWS).all(axis=2)
-            if len(rest):
-                rest = rest[shared.argmax(axis=1) == _band_number(band)]
-            found.append(np.stack([np.minimum(ids[x], ids[rest]), np.maximum(ids[x], ids[rest])], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+        component, number = np.unique(group["component"].to_numpy(), return_inverse=True)
+        forest, found = Forest(len(component)), []
+        for x, rest in _pairs(group):
+            for y in np.unique(number[rest]).tolist():
+                if forest.join(int(number[x]), y):
+                    found.append((component[number[x]], component[y]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return _dealt(bands, "band", sizes).groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _band_number(band: int) -> int:
-    return band & 31
+def _linked(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links between components of a group; of each block a spanning forest.
+
+    ``rows`` is (part, id, component, signature, text).
+    """
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = sizes.select("part", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / SLICE_BYTES)).alias("blocks"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        component, number = np.unique(group["component"].to_numpy(), return_inverse=True)
+        ids = group["id"].to_numpy()
+        text, value, count = shingles([t.encode() for t in group["text"]])
+        # each occurrence is an element of its own, so that multisets become sets
+        row = np.repeat(np.arange(len(text)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        element = np.unique(mix(value[row] ^ mix(nth.astype(np.uint64))), return_inverse=True)[1]
+        size = np.bincount(text[row], minlength=len(group))
+        begin = np.cumsum(size) - size
+        forest, found, mark = Forest(len(component)), [], np.zeros(len(element) + 1, bool)
+        for x, rest in _pairs(group):
+            mark[:] = False
+            mark[element[begin[x] : begin[x] + size[x]]] = True
+            for y in rest.tolist():
+                if forest.find(int(number[x])) == forest.find(int(number[y])):
+                    continue
+                shared = int(mark[element[begin[y] : begin[y] + size[y]]].sum())
+                if shared >= similarity * (int(size[x]) + int(size[y]) - shared):
+                    forest.join(int(number[x]), int(number[y]))
+                    found.append((ids[x], ids[y]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return _dealt(rows, "part", sizes).groupBy("part", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -211,7 +267,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     member = signed.select("doc_id", "same").join(classes, "same").select("doc_id", F.col("rep").alias("class_id"))
     reps = signed.where("signature is not null").join(classes, "same").where("doc_id = rep")
     reps = reps.select(F.col("rep").alias("id"), "signature").dropDuplicates(["id"])
-    number = F.posexplode(
+    number = F.posexplode_outer(
         F.expr(
             f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(substring(signature, {4 * ROWS} * b + 1, {4 * ROWS}), b))"
         )
@@ -229,8 +285,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = checkpoint(verified(stars, texts, similarity))
     parts = connected(links)
     own = bands.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    more = verified(_across(own.join(reps, "id")), texts, similarity)
-    parts = connected(links.union(checkpoint(more)))
+    own = checkpoint(own.join(reps, "id"))
+    near = connected(_maybe_linked(own))
+    near = near.union(near.select("component", "component").distinct()).toDF("component", "part")
+    together = own.drop("band").dropDuplicates(["id"]).join(near, "component").join(texts, "id")
+    parts = connected(links.union(_linked(checkpoint(together), similarity)))
     done = member.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
