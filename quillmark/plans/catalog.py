@@ -1,10 +1,515 @@
-"""Registered queries of the originality operators, with the SQL that each is checked against."""
+"""Registered queries of the originality operators over the given tables.
+
+Stand-ins: a document's ``source`` is its institution and ``doc_id`` its time of arrival; lines of ``documents`` are
+taken as paragraphs where an operator needs them; orders and customers stand for documents and their owners where only
+relational shapes matter.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.functions import text as T
+from quillmark.operators import access, chunks, intervals, reports, sections, similarity, style, webqueries
+from quillmark.params import BANK, BANK_NEWEST, EXCERPT, INTERNAL, INTERNAL_QUERY, WEB, WEB_QUERY
+from quillmark.plans.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
+from quillmark.sources import files, pages
+
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["internal_percent"](spark, sf_dir)
+def query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are paragraphs."""
+    return docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+# --- text and fragments
+
+
+@query
+def tokens_offsets(spark, sf_dir):
+    return chunks.tokens(docs(spark, sf_dir))
+
+
+@query
+def normalized_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("normalized"))
+
+
+FRAGMENT = ["doc_id", "chunk_ix", "start_offset", "end_offset", "word_count", "content_hash"]
+
+
+@query
+def bank_chunks(spark, sf_dir):
+    return chunks.chunks(docs(spark, sf_dir), BANK).select(*FRAGMENT)
+
+
+@query
+def query_chunks_internal(spark, sf_dir):
+    return chunks.chunks(docs(spark, sf_dir), INTERNAL_QUERY).select(*FRAGMENT)
+
+
+@query
+def query_chunks_web(spark, sf_dir):
+    return chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select(*FRAGMENT)
+
+
+@query
+def shingles(spark, sf_dir):
+    rows = chunks.with_shingles(chunks.chunks(docs(spark, sf_dir), BANK))
+    return rows.select("doc_id", "chunk_ix", F.size("shingles").cast("long").alias("n_shingles"))
+
+
+@query
+def shingle_df(spark, sf_dir):
+    rows = chunks.with_shingles(chunks.chunks(docs(spark, sf_dir), BANK)).select(F.explode_outer("shingles").alias("shingle"))
+    return rows.groupBy("shingle").agg(F.count("*").alias("n"))
+
+
+@query
+def fragment_duplicates(spark, sf_dir):
+    return access.repeated_keys(chunks.chunks(docs(spark, sf_dir), BANK), ["content_hash"])
+
+
+# --- similarity between documents
+
+
+def _bank_and_query(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = docs(spark, sf_dir)
+    bank = chunks.chunks(d, BANK).select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text")
+    return bank, chunks.chunks(d, INTERNAL_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+
+
+PAIR = ["doc_id", "chunk_ix", "cand_doc", "cand_chunk"]
+
+
+def _texts(pairs: DataFrame, asked: DataFrame, bank: DataFrame) -> DataFrame:
+    """Pairs with both normalised texts and the chunk's place."""
+    pairs = pairs.join(asked.withColumnRenamed("normalized_text", "q_text"), ["doc_id", "chunk_ix"])
+    return pairs.join(bank.withColumnRenamed("normalized_text", "c_text"), [c for c in bank.columns if c != "normalized_text" and c in pairs.columns])
+
+
+def _internal_pairs(spark, sf_dir, prune: bool) -> DataFrame:
+    bank, asked = _bank_and_query(spark, sf_dir)
+    pairs = similarity.shared(asked, bank, ["doc_id", "chunk_ix"], ["cand_doc", "cand_chunk"], F.col("doc_id") != F.col("cand_doc"))
+    if prune:
+        pairs = similarity.contenders(pairs, INTERNAL, ["doc_id", "chunk_ix"])
+    return similarity.scored(similarity.with_bonus(_texts(pairs, asked, bank), INTERNAL), INTERNAL)
+
+
+@query
+def internal_pairs(spark, sf_dir):
+    return _internal_pairs(spark, sf_dir, False).select(*PAIR, "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent"))
+
+
+def _internal_best(spark, sf_dir) -> DataFrame:
+    newest = [F.col("cand_doc").desc(), F.col("cand_chunk").desc()]
+    return similarity.best_of_chunk(_internal_pairs(spark, sf_dir, True), ["doc_id", "chunk_ix"], newest)
+
+
+@query
+def internal_best(spark, sf_dir):
+    return _internal_best(spark, sf_dir).select(*PAIR, T.percent(F.col("hundredths")).alias("matched_percent"))
+
+
+@query
+def internal_top35(spark, sf_dir):
+    top = similarity.top_matches(_internal_best(spark, sf_dir))
+    return top.select(*PAIR, "rank", "start_offset", "end_offset", T.percent(F.col("hundredths")).alias("matched_percent"))
+
+
+@query
+def internal_percent(spark, sf_dir):
+    top = similarity.top_matches(_internal_best(spark, sf_dir))
+    found = similarity.matched_percent(docs(spark, sf_dir), top)
+    risk = reports.risk_level(F.col("hundredths"), F.lit(0))
+    return found.select("doc_id", T.percent(F.col("hundredths")).alias("similarity_percent"), risk.alias("risk_level"))
+
+
+# --- similarity with web pages
+
+
+@query
+def page_text(spark, sf_dir):
+    return pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", "title", "text")
+
+
+@query
+def page_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", pages.domain(F.col("url")).alias("domain"))
+
+
+@query
+def page_blocked(spark, sf_dir):
+    """Every third address gets a file ending."""
+    url = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("", ".PDF", ".Jpg?x=1")]), (F.col("page_id") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", pages.blocked(url).alias("blocked"))
+
+
+@query
+def web_candidates(spark, sf_dir):
+    """Search results made of the pages: twenty documents, seven queries, addresses without their queries."""
+    results = table(spark, sf_dir, "pages").selectExpr(
+        "page_id % 20 as doc_id", "page_id % 7 as query_ix", "page_id as rank", "regexp_extract(url, '^[^/]*//[^/]*/[^/]*', 0) as url"
+    )
+    return pages.candidates(results)
+
+
+def _web(spark, sf_dir, prune: bool) -> DataFrame:
+    web = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", T.normalized(F.col("text")).alias("normalized_text"))
+    asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+    pairs = similarity.shared(asked, web, ["doc_id", "chunk_ix"], ["page_id"])
+    if prune:
+        pairs = similarity.contenders(pairs, WEB, ["doc_id", "chunk_ix"])
+    return similarity.scored(similarity.with_bonus(_texts(pairs, asked, web), WEB), WEB)
+
+
+def _web_best(spark, sf_dir) -> DataFrame:
+    return similarity.best_of_chunk(_web(spark, sf_dir, True), ["doc_id", "chunk_ix"], [F.col("page_id")])
+
+
+@query
+def web_pairs(spark, sf_dir):
+    return _web(spark, sf_dir, False).select(
+        "doc_id", "chunk_ix", "page_id", "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent")
+    )
+
+
+@query
+def web_best(spark, sf_dir):
+    return _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id", T.percent(F.col("hundredths")).alias("matched_percent"))
+
+
+@query
+def web_excerpt(spark, sf_dir):
+    best = _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id", "q_text", "c_text")
+    texts = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", F.col("text").alias("page_text"))
+    return similarity.excerpt(best.join(texts, "page_id")).select("doc_id", "chunk_ix", "page_id", "excerpt")
+
+
+@query
+def web_percent(spark, sf_dir):
+    found = similarity.matched_percent(docs(spark, sf_dir), similarity.top_matches(_web_best(spark, sf_dir)))
+    return found.select("doc_id", T.percent(F.col("hundredths")).alias("web_percent"))
+
+
+def _ranges(spark, sf_dir) -> DataFrame:
+    place = ["doc_id", "start_offset", "end_offset"]
+    internal = similarity.top_matches(_internal_best(spark, sf_dir)).select(*place)
+    return internal.unionByName(similarity.top_matches(_web_best(spark, sf_dir)).select(*place))
+
+
+@query
+def merged_ranges(spark, sf_dir):
+    return intervals.merged(_ranges(spark, sf_dir))
+
+
+@query
+def total_percent(spark, sf_dir):
+    found = similarity.matched_percent(docs(spark, sf_dir), _ranges(spark, sf_dir))
+    return found.select("doc_id", T.percent(F.col("hundredths")).alias("total_percent"))
+
+
+def _percents(spark, sf_dir) -> DataFrame:
+    """(doc_id, similarity, ai): total similarity and style probability in hundredths of a percent."""
+    total = similarity.matched_percent(docs(spark, sf_dir), _ranges(spark, sf_dir)).withColumnRenamed("hundredths", "similarity")
+    d = paged(spark, sf_dir)
+    ai = style.probability(d, style.scores(d)).withColumnRenamed("hundredths", "ai")
+    return total.join(ai, "doc_id")
+
+
+@query
+def risk_level(spark, sf_dir):
+    return _percents(spark, sf_dir).select(
+        "doc_id",
+        T.percent(F.col("similarity")).alias("similarity_percent"),
+        T.percent(F.col("ai")).alias("ai_percent"),
+        reports.risk_level(F.col("similarity"), F.col("ai")).alias("risk_level"),
+    )
+
+
+# --- sections
+
+
+@query
+def line_normalize(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.line_breaks(F.col("text")).alias("clean"))
+
+
+@query
+def reference_tail(spark, sf_dir):
+    """A stop word is put after a share of the lines that differs by document."""
+    text = F.replace("text", F.lit(". "), F.concat(F.lit(". "), F.when(F.col("doc_id") % 3 == 0, "Referencias ").otherwise("")))
+    rows = sections.reference_tail(docs(spark, sf_dir).withColumn("text", text))
+    return rows.select("doc_id", F.col("position").cast("long").alias("position"), "has_tail", F.length("cut").cast("long").alias("cut_length"))
+
+
+@query
+def cover_flag(spark, sf_dir):
+    """Markers are put before paragraphs, as many as the document's number tells."""
+    rows = sections.paragraphs(paged(spark, sf_dir))
+    marked = F.concat(F.expr("substring('Tesis Universidad Facultad ', 1, cast(6 + 10 * (doc_id % 3) as int))"), F.lit(" "), "paragraph")
+    return rows.select("doc_id", "ix", sections.looks_like_cover(marked, F.col("ix")).alias("cover"))
+
+
+@query
+def low_value_flag(spark, sf_dir):
+    """Whole texts as paragraphs: every line is a line of it."""
+    return docs(spark, sf_dir).select("doc_id", sections.low_value(T.strip(F.col("text"))).alias("low_value"))
+
+
+@query
+def filtered_text(spark, sf_dir):
+    rows = sections.filtered(paged(spark, sf_dir))
+    return rows.select("doc_id", "content", F.array_join("excluded", "|").alias("excluded"))
+
+
+# --- style
+
+
+@query
+def paragraphs_offsets(spark, sf_dir):
+    return style.paragraphs(paged(spark, sf_dir)).select("doc_id", "start_offset", "end_offset", F.sha2("paragraph", 256).alias("hash"))
+
+
+FEATURES = ["w", "u", "sentences", "n", "s", "q", "punctuation", "chars"]
+
+
+@query
+def sentence_stats(spark, sf_dir):
+    rows = style.features(style.paragraphs(paged(spark, sf_dir)))
+    return rows.select("doc_id", "start_offset", *[F.col(c).cast("long").alias(c) for c in FEATURES])
+
+
+@query
+def lexicon_counts(spark, sf_dir):
+    rows = style.features(style.paragraphs(paged(spark, sf_dir)))
+    return rows.select("doc_id", "start_offset", "connectors", "generic", "personal")
+
+
+@query
+def style_score(spark, sf_dir):
+    return style.scores(paged(spark, sf_dir)).select("doc_id", "start_offset", F.col("score").cast("long").alias("score"))
+
+
+@query
+def style_probability(spark, sf_dir):
+    d = paged(spark, sf_dir)
+    return style.probability(d, style.scores(d)).select("doc_id", T.percent(F.col("hundredths")).alias("probability"))
+
+
+@query
+def style_findings_top20(spark, sf_dir):
+    rows = style.findings(style.scores(paged(spark, sf_dir)))
+    return rows.select("doc_id", "rank", "start_offset", "end_offset", F.col("score").cast("long").alias("score"), "excerpt")
+
+
+# --- web queries
+
+
+@query
+def search_phrases(spark, sf_dir):
+    rows = webqueries.phrases(paged(spark, sf_dir))
+    return rows.select("doc_id", F.posexplode_outer("phrases").alias("ix", "phrase")).where("phrase is not null")
+
+
+@query
+def search_queries(spark, sf_dir):
+    rows = webqueries.queries(webqueries.phrases(paged(spark, sf_dir)))
+    return rows.select("doc_id", F.posexplode_outer("queries").alias("ix", "query")).where("query is not null")
+
+
+# --- highlights and reports
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    """Similarity and style findings of a document, similarity first where they begin together."""
+    similar = _ranges(spark, sf_dir).select("doc_id", "start_offset", "end_offset", F.lit("SIMILARITY").alias("finding_type"), F.lit(0).alias("priority"))
+    styled = style.findings(style.scores(paged(spark, sf_dir)))
+    return similar.unionByName(
+        styled.select("doc_id", "start_offset", "end_offset", F.lit("AI_GENERATED").alias("finding_type"), F.lit(1).alias("priority"))
+    )
+
+
+@query
+def highlight_segments(spark, sf_dir):
+    rows = intervals.segments(docs(spark, sf_dir), _findings(spark, sf_dir))
+    return rows.select("doc_id", "seg_ix", F.sha2("text", 256).alias("hash"), "finding_type")
+
+
+@query
+def report_summary_json(spark, sf_dir):
+    excluded = sections.filtered(paged(spark, sf_dir)).select("doc_id", "excluded")
+    rows = _percents(spark, sf_dir).join(excluded, "doc_id")
+    summary = F.to_json(F.struct(F.lit("spark-shingles-v1").alias("engine"), F.col("excluded").alias("excluded_sections")))
+    return rows.select("doc_id", reports.risk_level(F.col("similarity"), F.col("ai")).alias("risk_level"), summary.alias("summary"))
+
+
+@query
+def report_sources(spark, sf_dir):
+    internal = similarity.top_matches(_internal_best(spark, sf_dir)).select(
+        "doc_id", F.lit("INTERNAL").alias("source_type"), "rank", F.concat(F.lit("document "), "cand_doc").alias("title"),
+        F.lit("Repositorio interno").alias("domain"), T.percent(F.col("hundredths")).alias("matched_percent"),
+    )
+    known = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", "title", "domain")
+    web = similarity.top_matches(_web_best(spark, sf_dir)).join(known, "page_id").select(
+        "doc_id", F.lit("WEB").alias("source_type"), "rank", "title", "domain", T.percent(F.col("hundredths")).alias("matched_percent")
+    )
+    return internal.unionByName(web)
+
+
+@query
+def report_findings(spark, sf_dir):
+    top = similarity.top_matches(_internal_best(spark, sf_dir)).join(docs(spark, sf_dir), "doc_id")
+    excerpt = F.expr(f"substring(text, start_offset + 1, least(end_offset - start_offset, {EXCERPT}))")
+    return top.select("doc_id", "rank", "start_offset", "end_offset", F.sha2(excerpt, 256).alias("excerpt_hash"))
+
+
+@query
+def source_rollup(spark, sf_dir):
+    top = similarity.top_matches(_internal_best(spark, sf_dir))
+    rolled = top.groupBy("doc_id", "cand_doc").agg(F.count("*").alias("matches"), F.max("hundredths").alias("best"))
+    return rolled.select("doc_id", "cand_doc", "matches", T.percent(F.col("best")).alias("best_percent"))
+
+
+# --- relational shapes
+
+
+def _owned(spark, sf_dir) -> DataFrame:
+    owners = table(spark, sf_dir, "customer").selectExpr("c_custkey as owner_id", "c_nationkey as institution_id")
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "o_custkey as owner_id", "o_orderdate as created_at").join(owners, "owner_id")
+
+
+@query
+def rls_documents(spark, sf_dir):
+    d = _owned(spark, sf_dir)
+    scopes = {
+        "student": access.visible_to(d, 7, "STUDENT", True, 3),
+        "teacher": access.visible_to(d, 8, "TEACHER", False, 3),
+        "superuser": access.visible_to(d, 9, "ADMIN", True),
+        "stranger": access.visible_to(d, 10, "TEACHER", False, None),
+    }
+    out = None
+    for name, rows in scopes.items():
+        rows = rows.select(F.lit(name).alias("scope"), "doc_id")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def bank_candidates_5000(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(chunks.chunks(docs(spark, sf_dir), BANK), "doc_id")
+    newest = reports.latest(rows, "source", [F.col("doc_id").desc(), F.col("chunk_ix").desc()], BANK_NEWEST)
+    return newest.select("source", "doc_id", "chunk_ix", "rank")
+
+
+@query
+def recent_documents(spark, sf_dir):
+    rows = reports.latest(_owned(spark, sf_dir), "institution_id", [F.col("created_at").desc(), F.col("doc_id").desc()], 10)
+    return rows.select("institution_id", "doc_id", "rank")
+
+
+@query
+def attempt_number(spark, sf_dir):
+    jobs = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as document_id", "'FULL' as analysis_type", "l_linenumber as attempt_number")
+    return reports.next_attempt(jobs).select("document_id", "attempt")
+
+
+@query
+def login_lookup(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").selectExpr("c_name as username", "concat(c_name, '@Example.org') as email", "c_acctbal > 0 as is_active")
+    one = access.login(users, "cUSTOMER#000000042")
+    return one.union(access.login(users, "customer#000000043@example.ORG"))
+
+
+@query
+def admin_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_size > 10")
+    return access.search(rows, "br a", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name")
+
+
+@query
+def constraint_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey", "cast(o_orderdate as date) as day")
+    found = access.repeated_keys(rows, ["o_custkey", "day"])
+    return found.select("o_custkey", F.col("day").cast("string").alias("day"), "n")
+
+
+@query
+def documents_with_labels(spark, sf_dir):
+    """An optional one-to-one relation: documents with their label, if they have one."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
+
+
+@query
+def prefetched_orders(spark, sf_dir):
+    """Each customer with all their orders, in order, as one list."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("orders")
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce("orders", F.lit("")).alias("orders"))
+
+
+@query
+def lifecycle_status(spark, sf_dir):
+    """The last event of each user decides the status of a job; error events fail it."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("steps"))
+    job, document = reports.final_status(F.col("last") != "error")
+    return last.select("user_id", "steps", "last", job.alias("job_status"), document.alias("document_status"))
+
+
+@query
+def certificate_payload(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    key = F.concat(F.lit("report-"), F.col("doc_id").cast("string"))
+    code = reports.certificate_code("VQ", F.lit(2024), key)
+    share = F.col("n_chars") * 7 % 10001
+    path = F.concat(F.lit("/certificados/verificar/"), code, F.lit("/"))
+    return rows.select(
+        "doc_id", code.alias("code"), reports.verification_hash(key, F.col("doc_id").cast("string"), code).alias("verification_hash"),
+        reports.verification_url(F.lit("https://example.org//"), path).alias("url"),
+        reports.percent_text(share).alias("similarity"), reports.risk_level(share, F.lit(0)).alias("risk_level"),
+        reports.display_name(F.lit(""), F.col("source"), F.lit("nobody")).alias("author"),
+    )
+
+
+@query
+def upload_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        "if(doc_id % 5 = 0, '  ', 'A title') as title",
+        "if(doc_id % 7 = 0, 'POEM', 'THESIS') as kind",
+        "element_at(array('', 'a.PDF', 'b.docx', 'c.txt'), cast(doc_id % 4 + 1 as int)) as filename",
+        "n_chars * 5000 as size",
+    )
+    reason = files.reject_reason(F.col("title"), F.col("kind"), F.col("filename"), F.col("size"))
+    return rows.select("doc_id", reason.alias("reject_reason"))
+
+
+@query
+def merged_sessions(spark, sf_dir):
+    """Events as ranges of half an hour by user; ranges that touch become one."""
+    start = F.unix_timestamp("ts")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), start.alias("start_offset"), (start + 1800).alias("end_offset"))
+    return intervals.merged(rows).withColumnRenamed("doc_id", "user_id")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity percent and risk of every document."""
+    return internal_percent(spark, sf_dir)
