@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.bytekernel import PLAIN_WORDS, mix, powers, window_hashes, words
-from quillmark.llm.runtime import checkpoint, slices
+from quillmark.llm.runtime import checkpoint, slices, stored
 
 SIZE, INNER = 20, 8
 #: Bits of the counter index of each of the sketch's two rows, at most; 2 * 2^29 bits are 128 MB.
@@ -224,14 +224,16 @@ def candidates(docs: DataFrame, size: int) -> DataFrame:
 def marks(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, runs): runs (start, n) of n windows, from word ``start``, that occur in a document of a smaller id."""
     blocks = candidates(docs, size)
-    kinds = blocks.groupBy("key", "kind").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(many, "key").where("times > 1 or kinds > 1").select("key", "kind", "first", "kinds")
-    found = blocks.join(wanted, ["key", "kind"])
+    kinds = stored(blocks.groupBy("key", "kind").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.lit(True).alias("mixed"))
+    wanted = kinds.join(mixed, "key", "left").where("times > 1 or mixed").select("key", "kind", "first", "mixed")
+    found = blocks.join(wanted, ["key", "kind"]).where("doc_id > first or (doc_id = first and mixed)")
     n = F.expr("cast(octet_length(windows) div 8 as int)")
-    copies = found.where("doc_id > first").select("doc_id", "start", n.alias("n"))
+    copy = F.col("doc_id") > F.col("first")
+    found = stored(found.select("key", F.when(~copy, F.col("windows")).alias("windows"), "doc_id", "start", n.alias("n")))
+    copies = found.where("windows is null").select("doc_id", "start", "n")
     # one block of each kind stands for its windows, where the blocks of a key differ
-    own = found.where("doc_id = first and kinds > 1").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    own = found.where("windows is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     hashed = F.expr("cast(conv(hex(substring(windows, 8 * i + 1, 8)), 16, -10) as bigint)").alias("hash")
     each = own.select("key", hashed, "doc_id", (F.col("start") + F.col("i")).alias("start"))
     earliest = each.groupBy("key", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
