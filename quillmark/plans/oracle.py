@@ -335,8 +335,8 @@ select * from f qualify row_number() over (partition by doc_id order by query_ix
     "web_excerpt": with_(
         f"""{WEB_BEST},
 at_ as (select doc_id, chunk_ix, page_id, pp.pt, coalesce(
-  {', '.join(f"nullif(strpos(ct, array_to_string(v[1:{n}], ' ')), 0)" for n in (10, 8, 6, 4))}) - 1 at from be join pp using (page_id))""",
-        f"select doc_id, chunk_ix, page_id, coalesce(substr(pt, greatest(0, at - 180) + 1, at + 720 - greatest(0, at - 180)), substr(pt, 1, {EXCERPT})) excerpt from at_",
+  {', '.join(f"nullif(strpos(ct, array_to_string(v[1:{n}], ' ')), 0)" for n in (10, 8, 6, 4))}) - 1 pos from be join pp using (page_id))""",
+        f"select doc_id, chunk_ix, page_id, coalesce(substr(pt, greatest(0, pos - 180) + 1, pos + 720 - greatest(0, pos - 180)), substr(pt, 1, {EXCERPT})) excerpt from at_",
     ),
     "web_percent": with_(f"{WEB_BEST}, {matched('tp')}", f"select doc_id, {percent('h')} web_percent from mp"),
     "merged_ranges": with_(f"{RANGES}, {merged('rg')}", "select * from mg"),
@@ -439,7 +439,7 @@ select doc_id, case when doc_id % 5 = 0 then 'title' when doc_id % 7 = 0 then 'k
   when doc_id % 4 = 3 then 'extension' when n_chars * 5000 not between 1 and 26214400 then 'size' end reject_reason from documents
 """,
     "merged_sessions": with_(
-        f"""ev as (select user_id, epoch(ts)::bigint start_offset, epoch(ts)::bigint + 1800 end_offset from events), {merged('ev', 'user_id')}""",
+        f"""ev as (select user_id, floor(epoch(ts))::bigint start_offset, floor(epoch(ts))::bigint + 1800 end_offset from events), {merged('ev', 'user_id')}""",
         "select * from mg",
     ),
 }
