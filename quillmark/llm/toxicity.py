@@ -42,6 +42,8 @@ EMBED, STATE, ATTEND = 4, 8, 8
 #: Passes over the windows, at least, and steps, at least.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 400, 128, 0.01, 5
 SLICE_BYTES, ROUND = 4 << 20, 8192
+#: Bytes of a word that come to the driver for training.
+LONG_WORD = 64
 
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -338,7 +340,7 @@ def _training_windows(rows: DataFrame, tables: tuple) -> list[tuple[str, int]]:
                     chosen = chosen[:1]
                 split = raw.translate(FOLDED_WORDS).split()
                 for c in chosen:
-                    found.append(b" ".join(split[begins[c] : ends[c]]))
+                    found.append(b" ".join([w[:LONG_WORD] for w in split[begins[c] : ends[c]]]))
                     label.append(toxic)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(label, pa.int32())], names=["window", "toxic"])
 
