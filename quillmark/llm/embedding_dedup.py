@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,49 +115,101 @@ def _compared(hashed: DataFrame, cosine: float) -> DataFrame:
     rows = hashed.withColumn("key", F.explode(F.array_distinct("keys"))).join(sizes, bucket)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = [*bucket, "i", "j"]
     rows = rows.select(
         *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "unit", "keys"
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        n = len(group)
-        x = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(n, -1)
-        key, rep, size = group["key"].iat[0], group["rep"].to_numpy(), group["size"].to_numpy()
-        keys = np.stack(group["keys"].to_numpy())
-        own = group["own"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            begin = _begins(part, group)
+            yield _links(part, begin, cosine)
+            held = part.slice(int(begin[-1]))  # its group may go on in the next batch
+        if held is not None:
+            yield _links(held, np.array([0, len(held)]), cosine)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "rep bigint, links bigint, other bigint")
+
+
+def _begins(part: pa.RecordBatch, group: list[str]) -> np.ndarray:
+    """First rows of the groups of sorted rows; the last group's comes last."""
+    new = np.zeros(len(part), bool)
+    new[0] = True
+    for c in group:
+        v = part.column(c).to_numpy(zero_copy_only=False)
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _links(part: pa.RecordBatch, at: np.ndarray, cosine: float) -> pa.RecordBatch:
+    """Links and forest edges within the groups at[k] .. at[k + 1] of the rows."""
+    label = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "rep", "size", "dim")}
+    units = part.column("unit")
+    first_byte = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(part) + 1]
+    values = np.frombuffer(units.buffers()[2], np.uint8)
+    keys = part.column("keys").flatten().to_numpy().reshape(len(part), TABLES, PROBES)
+    out: tuple[list, list, list] = ([], [], [])
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo < 2:
+            continue
+        x = values[first_byte[lo] : first_byte[hi]].view(np.float64).reshape(hi - lo, label["dim"][lo])
         link = x @ x.T >= cosine
-        np.fill_diagonal(link, False)
-        if group["i"].iat[0] != group["j"].iat[0]:
+        if label["i"][lo] != label["j"][lo]:
+            own = label["own"][lo:hi]
             link &= own[:, None] != own[None, :]
-        a, b = np.nonzero(np.triu(link))
-        # the first bucket in the order of the smaller id's keys that the two share
+        a, b = np.nonzero(np.triu(link, 1))
+        if not len(a):
+            continue
+        rep, size = label["rep"][lo:hi], label["size"][lo:hi]
         flip = rep[a] > rep[b]
         a, b = np.where(flip, b, a), np.where(flip, a, b)
-        first = np.zeros(len(a), bool)
-        for s in range(0, len(a), 4096):
-            ka, kb = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
-            shared = (ka[:, :, None] == kb[:, None, :]).any(axis=2)
-            first[s : s + 4096] = ka[np.arange(len(ka)), shared.argmax(axis=1)] == key
-        a, b = a[first], b[first]
-        links = np.bincount(a, weights=size[b], minlength=n) + np.bincount(b, weights=size[a], minlength=n)
-        root = np.arange(n)
-        forest = []
-        for p, q in zip(a.tolist(), b.tolist(), strict=True):
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            while root[q] != q:
-                root[q] = root[root[q]]
-                q = root[q]
-            if p != q:
-                root[p] = q
-                forest.append((rep[p], rep[q]))
+        counted = _first_shared(keys[lo:hi], a, b, label["key"][lo])
+        link = np.zeros((hi - lo, hi - lo), bool)
+        link[a[counted], b[counted]] = link[b[counted], a[counted]] = True
+        links = link @ size
         some = links > 0
-        counted = pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "other": None})
-        edges = pd.DataFrame({"rep": [e[0] for e in forest], "links": 0, "other": [e[1] for e in forest]})
-        return pd.concat([counted.astype({"other": "Int64"}), edges.astype({"rep": "int64", "other": "Int64"})])
+        out[0].append(rep[some])
+        out[1].append(links[some])
+        out[2].append(np.full(int(some.sum()), -1))
+        unseen = some.copy()
+        for root in np.flatnonzero(some).tolist():
+            if not unseen[root]:
+                continue
+            unseen[root], todo = False, [root]
+            while todo:
+                p = todo.pop()
+                new = np.flatnonzero(link[p] & unseen)
+                unseen[new] = False
+                todo += new.tolist()
+                out[0].append(np.full(len(new), rep[p]))
+                out[1].append(np.zeros(len(new), np.int64))
+                out[2].append(rep[new])
+    own, links, other = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
+    edge = links == 0
+    return pa.RecordBatch.from_arrays(
+        [pa.array(own, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64(), mask=~edge)],
+        names=["rep", "links", "other"],
+    )
 
-    return rows.groupBy(*bucket, "i", "j").applyInPandas(compare, "rep bigint, links bigint, other bigint")
+
+def _first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Whether ``key`` is the first bucket, in the order of a's keys, that rows a and b share.
+
+    Keys of one table are equal to those of the same table only.
+    """
+    table = int(key) % keys.shape[1]
+    out = np.empty(len(a), bool)
+    for s in range(0, len(a), 8192):
+        ka, kb = keys[a[s : s + 8192], : table + 1], keys[b[s : s + 8192], : table + 1]
+        shared = (ka[:, :, :, None] == kb[:, :, None, :]).any(axis=3)
+        here = ka[:, table][np.arange(len(ka)), shared[:, table].argmax(axis=1)] == key
+        out[s : s + 8192] = here & ~shared[:, :table].any(axis=(1, 2))
+    return out
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
