@@ -1,10 +1,14 @@
 """Secrets in whole texts: three fixed patterns, and strings that character models call random.
 
 Two first-order Markov models over characters, one of random strings and one of
-ordinary identifiers, are trained from labelled samples. A run of token characters
-of at least ``SHORTEST`` that mixes letters and digits is a further finding if its
-log-likelihood ratio, per character, exceeds a threshold that is set on held-out
-samples. Findings of the patterns always stay.
+ordinary identifiers, are trained from labelled samples. In runs of token characters
+the stretch of at least ``SHORTEST`` with the largest log-likelihood ratio is a
+further finding if that exceeds a threshold that is set on held-out identifiers by
+the same statistic; what lies before and after it is judged again, however long the
+run. A finding reaches to the separators around its stretch. Stretches without
+letters, or of few different characters (rules and fillers), are not findings.
+Findings of the patterns always stay; the models judge what is left of a run beside
+them.
 
 The labelled samples are drawn by rule from a seed, ``SAMPLES`` of each label:
 random strings over the alphabets of common secrets; identifiers joined from
@@ -38,14 +42,19 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Characters of a run that the models judge, at least and at once (longer runs are judged by windows).
-SHORTEST, WINDOW = 20, 64
+#: Characters of a stretch that the models judge, at least; drawn random strings have up to LONGEST.
+SHORTEST, LONGEST = 20, 64
+#: Different characters of a finding, at least: of 20 random hex digits, fewer come once in some million.
+DIFFERENT = 6
 #: Labelled strings of each kind that the models are trained on, and as many to set the threshold.
 SAMPLES, SEED = 4000, 11
 #: Share of held-out identifiers that may exceed the threshold.
 FALSE_SHARE = 0.001
+#: Identifiers that are joined to a held-out run, at most.
+JOINED = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LETTERS, DIGITS = 52, 10
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 WORDS = (
     "account action active address admin after alert all and answer api app area array asset async auth back base batch "
@@ -73,7 +82,7 @@ WORDS = (
 
 
 def random_string(rng: random.Random) -> str:
-    n = rng.randint(SHORTEST, WINDOW)
+    n = rng.randint(SHORTEST, LONGEST)
     kind = rng.randrange(4)
     if kind == 0:
         return "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -104,15 +113,25 @@ def identifier(rng: random.Random) -> str:
     return "".join(parts)
 
 
+def identifiers(rng: random.Random) -> str:
+    """A run of one to ``JOINED`` identifiers, as in paths and assignments."""
+    return rng.choice("/_=-").join(identifier(rng) for _ in range(rng.randint(1, JOINED)))
+
+
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratio of each character after another, random against ordinary, and the threshold per character."""
+    """Log-likelihood ratio of each character after another, random against ordinary, and the threshold of a stretch's sum."""
 
     ratio: np.ndarray
     threshold: float
 
-    def score(self, codes: np.ndarray) -> float:
-        return float(self.ratio[codes[:-1], codes[1:]].mean())
+    def best(self, codes: np.ndarray) -> tuple[float, int, int]:
+        """(sum, start, end) of the stretch of ``SHORTEST`` or more characters with the largest sum of ratios."""
+        total = np.cumsum(np.append(0.0, self.ratio[codes[:-1], codes[1:]]))
+        lowest = np.minimum.accumulate(total[: len(total) - SHORTEST + 1])
+        gain = total[SHORTEST - 1 :] - lowest
+        last = int(gain.argmax())
+        return float(gain[last]), int(total[: last + 1].argmin()), last + SHORTEST
 
 
 def _codes(text: str) -> np.ndarray:
@@ -125,7 +144,10 @@ _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 
 @lru_cache(1)
 def train(samples: int = SAMPLES, seed: int = SEED) -> Models:
-    """Both models, smoothed, with the threshold that FALSE_SHARE of further identifiers exceed."""
+    """Both models, smoothed, with the threshold that FALSE_SHARE of further runs of identifiers exceed.
+
+    A character after itself, or a separator after another, speaks for neither: rules are drawn with them.
+    """
     rng = random.Random(seed)
     n = len(ALPHABET)
     log = []
@@ -135,20 +157,43 @@ def train(samples: int = SAMPLES, seed: int = SEED) -> Models:
             c = _codes(draw(rng))
             np.add.at(count, (c[:-1], c[1:]), 1)
         log.append(np.log(count / count.sum(axis=1, keepdims=True)))
-    models = Models(log[0] - log[1], 0.0)
-    ordinary = np.array([models.score(_codes(identifier(rng))) for _ in range(samples)])
+    ratio = log[0] - log[1]
+    neutral = np.eye(n, dtype=bool)
+    neutral[LETTERS + DIGITS :, LETTERS + DIGITS :] = True
+    models = Models(np.where(neutral, np.minimum(ratio, 0.0), ratio), 0.0)
+    ordinary = np.array([models.best(_codes(identifiers(rng)))[0] for _ in range(samples)])
     return Models(models.ratio, max(0.0, float(np.quantile(ordinary, 1 - FALSE_SHARE))))
 
 
+def stretches(text: str, models: Models) -> list[tuple[int, int]]:
+    """(start, end), in order and apart, of the stretches of a run of token characters that are likelier random."""
+    codes, open_, found = _codes(text), [(0, len(text))], []
+    while open_:
+        a, b = open_.pop()
+        if b - a < SHORTEST:
+            continue
+        value, start, end = models.best(codes[a:b])
+        if value <= models.threshold:
+            continue
+        start, end = a + start, a + end
+        open_ += [(a, start), (end, b)]
+        kinds = np.unique(codes[start:end])
+        if len(kinds) >= DIFFERENT and kinds[0] < LETTERS:
+            found.append((start, end))
+    cuts = np.concatenate([[-1], np.flatnonzero(codes >= LETTERS + DIGITS), [len(text)]]) if found else None
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        start = min(start, int(cuts[np.searchsorted(cuts, start, "right") - 1]) + 1)
+        end = max(end, int(cuts[np.searchsorted(cuts, end - 1)]))
+        if out and start <= out[-1][1]:
+            start, end = out[-1][0], max(end, out.pop()[1])
+        out.append((start, end))
+    return out
+
+
 def looks_random(text: str, models: Models) -> bool:
-    """Whether any window of a run of token characters is likelier random; runs without both letters and digits are not."""
-    if text.isalpha() or not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
-        return False
-    codes = _codes(text)
-    ratio = models.ratio[codes[:-1], codes[1:]]
-    total = np.cumsum(np.append(0.0, ratio))
-    width = min(WINDOW, len(ratio))
-    return bool(((total[width:] - total[:-width]) / width > models.threshold).any())
+    """Whether any stretch of a run of token characters is likelier random."""
+    return bool(stretches(text, models))
 
 
 _TOKEN = np.zeros(256, bool)
@@ -179,8 +224,11 @@ def find(text: str, models: Models) -> list[tuple[int, int, int]]:
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base = sorted(found)
         for m in RUN.finditer(text):
-            if not any(a < m.end() and b > m.start() for a, _, b in base) and looks_random(m[0], models):
-                found.append((m.start(), 3, m.end()))
+            at = m.start()
+            for a, _, b in [*(x for x in base if x[0] < m.end() and x[2] > m.start()), (m.end(), 0, m.end())]:
+                if a - at >= SHORTEST:
+                    found += [(at + i, 3, at + j) for i, j in stretches(text[at:a], models)]
+                at = max(at, b)
     return sorted(found)
 
 

@@ -47,3 +47,34 @@ def test_random_findings_leave_words_alone():
     models = secrets.train()
     assert secrets.find("the file_manager_update_2024_service_handler_test is here " * 3, models) == []
     assert [k for _, k, _ in secrets.find("key Zx9Qw3Lr8TbV5nM2kJ7yHs4DgF6pC1 end", models)] == [3]
+
+
+def test_random_strings_inside_longer_runs_are_found():
+    models, rng = secrets.train(), random.Random(7)
+    alphabet = secrets.ALPHABET[:62]
+    for n, pad in [(20, 20), (24, 44), (32, 44), (24, 400)]:
+        whole = 0
+        for _ in range(200):
+            sep, before, after = rng.choice("/_"), "", ""
+            while len(before) < pad:
+                before += rng.choice(secrets.WORDS) + sep
+            after = sep + sep.join(rng.choice(secrets.WORDS) for _ in range(3))
+            secret = "".join(rng.choice(alphabet) for _ in range(n))
+            text = f"see {before}{secret}{after} there"
+            a = text.index(secret)
+            spans = [(x, y) for x, k, y in secrets.find(text, models) if k == 3]
+            whole += any(x <= a and y >= a + n and y - x < n + 20 for x, y in spans)
+        assert whole >= 190, (n, pad, whole)
+
+
+def test_letters_alone_several_secrets_and_rests_beside_patterns():
+    models = secrets.train()
+    assert [k for _, k, _ in secrets.find("key ZxqQwWLrBTbVnnMkJyyHsDgFpCvKzq end", models)] == [3]
+    one, two, words = "Zx9Qw3Lr8TbV5nM2kJ7yHs4D", "q7RkP2xVb9Tz4LmW8sHd3JcY", "/account/service/update/handler/report/image/table/"
+    text = one + words * 3 + two
+    first, second = secrets.find(text, models)  # a separator at the edge may belong to either side
+    assert first[0] == 0 and 24 <= first[2] <= 25 and second[2] == len(text) and 24 <= len(text) - second[0] <= 25
+    beside = f"{one}/password=abcdef1 x"
+    assert [(a, k) for a, k, _ in secrets.find(beside, models)] == [(0, 3), (25, 0)]
+    for rule in ["-" * 80, "=" * 30 + "Section" + "=" * 30, "g" * 64, "1234567890" * 5, "_" * 40 + "name"]:
+        assert not any(k == 3 for _, k, _ in secrets.find(rule, models))
