@@ -88,10 +88,11 @@ def fragment_duplicates(spark, sf_dir):
 # --- similarity between documents
 
 
-def _bank_and_query(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _bank_and_query(spark, sf_dir, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fragments of all documents, and of the texts that are ``asked`` about (the documents themselves, if none are given)."""
     d = docs(spark, sf_dir)
     bank = chunks.chunks(d, BANK).select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text")
-    return bank, chunks.chunks(d, INTERNAL_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+    return bank, chunks.chunks(d if asked is None else asked, INTERNAL_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
 
 
 PAIR = ["doc_id", "chunk_ix", "cand_doc", "cand_chunk"]
@@ -103,8 +104,8 @@ def _texts(pairs: DataFrame, asked: DataFrame, bank: DataFrame) -> DataFrame:
     return pairs.join(bank.withColumnRenamed("normalized_text", "c_text"), [c for c in bank.columns if c != "normalized_text" and c in pairs.columns])
 
 
-def _internal_pairs(spark, sf_dir, prune: bool) -> DataFrame:
-    bank, asked = _bank_and_query(spark, sf_dir)
+def _internal_pairs(spark, sf_dir, prune: bool, texts: DataFrame | None = None) -> DataFrame:
+    bank, asked = _bank_and_query(spark, sf_dir, texts)
     pairs = similarity.shared(asked, bank, ["doc_id", "chunk_ix"], ["cand_doc", "cand_chunk"], F.col("doc_id") != F.col("cand_doc"))
     if prune:
         pairs = similarity.contenders(pairs, INTERNAL, ["doc_id", "chunk_ix"])
@@ -116,9 +117,9 @@ def internal_pairs(spark, sf_dir):
     return _internal_pairs(spark, sf_dir, False).select(*PAIR, "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent"))
 
 
-def _internal_best(spark, sf_dir) -> DataFrame:
+def _internal_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
     newest = [F.col("cand_doc").desc(), F.col("cand_chunk").desc()]
-    return similarity.best_of_chunk(_internal_pairs(spark, sf_dir, True), ["doc_id", "chunk_ix"], newest)
+    return similarity.best_of_chunk(_internal_pairs(spark, sf_dir, True, texts), ["doc_id", "chunk_ix"], newest)
 
 
 @query
@@ -169,17 +170,17 @@ def web_candidates(spark, sf_dir):
     return pages.candidates(results)
 
 
-def _web(spark, sf_dir, prune: bool) -> DataFrame:
+def _web(spark, sf_dir, prune: bool, texts: DataFrame | None = None) -> DataFrame:
     web = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", T.normalized(F.col("text")).alias("normalized_text"))
-    asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+    asked = chunks.chunks(docs(spark, sf_dir) if texts is None else texts, WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
     pairs = similarity.shared(asked, web, ["doc_id", "chunk_ix"], ["page_id"])
     if prune:
         pairs = similarity.contenders(pairs, WEB, ["doc_id", "chunk_ix"])
     return similarity.scored(similarity.with_bonus(_texts(pairs, asked, web), WEB), WEB)
 
 
-def _web_best(spark, sf_dir) -> DataFrame:
-    return similarity.best_of_chunk(_web(spark, sf_dir, True), ["doc_id", "chunk_ix"], [F.col("page_id")])
+def _web_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
+    return similarity.best_of_chunk(_web(spark, sf_dir, True, texts), ["doc_id", "chunk_ix"], [F.col("page_id")])
 
 
 @query
@@ -278,6 +279,25 @@ def filtered_text(spark, sf_dir):
     return rows.select("doc_id", "content", F.array_join("excluded", "|").alias("excluded"))
 
 
+def analysed(spark, sf_dir) -> DataFrame:
+    """The texts that an analysis compares and measures: without covers, indexes, short paragraphs and reference lists."""
+    return sections.filtered(paged(spark, sf_dir)).select("doc_id", F.col("content").alias("text"))
+
+
+@query
+def analysis_percents(spark, sf_dir):
+    """A report's percents and risk by the whole analysis: filtered texts against all fragments of the bank, and pages."""
+    d = analysed(spark, sf_dir)
+    place = ["doc_id", "start_offset", "end_offset"]
+    internal = similarity.top_matches(_internal_best(spark, sf_dir, d)).select(*place)
+    web = similarity.top_matches(_web_best(spark, sf_dir, d)).select(*place)
+    rows = style.probability(d, style.scores(d)).withColumnRenamed("hundredths", "ai")
+    for name, found in {"internal": internal, "web": web, "total": internal.unionByName(web)}.items():
+        rows = rows.join(similarity.matched_percent(d, found).withColumnRenamed("hundredths", name), "doc_id")
+    percents = [T.percent(F.col(x)).alias(f"{x}_percent") for x in ("internal", "web", "total", "ai")]
+    return rows.select("doc_id", *percents, reports.risk_level(F.col("total"), F.col("ai")).alias("risk_level"))
+
+
 # --- style
 
 

@@ -289,6 +289,17 @@ gaps as (
   union all select documents.doc_id, coalesce(max(kept.b), 0), any_value(length(text)) from documents left join kept using (doc_id) group by 1),
 seg as (select doc_id, a, b, finding_type from kept union all select doc_id, a, b, null from gaps where a < b)"""
 
+#: An analysis: the texts asked about are filtered ones (``ac``), the bank's are whole.
+ASKED = "documents as (select * from ac)"
+ASKED_QUERY = f"qi as (with {ASKED}, {TOKENS}, {fragments('qi', INTERNAL_QUERY)} select * from qi)"
+ANALYSIS = f"""{FILTERED},
+ac as (select doc_id, coalesce(nullif(content, ''), {PAGED}) as text from documents left join fl using (doc_id)),
+{renamed(INTERNAL_BEST.replace(fragments('qi', INTERNAL_QUERY), ASKED_QUERY), 'ti')}, {renamed(f'{ASKED}, {WEB_BEST}', 'tw')},
+rg as (select doc_id, start_offset, end_offset from ti union all select doc_id, start_offset, end_offset from tw),
+hi as (with {ASKED}, {matched('ti')} select * from mp), hw as (with {ASKED}, {matched('tw')} select * from mp),
+ht as (with {ASKED}, {matched('rg')} select * from mp),
+ha as (with {ASKED}, {SCORES.replace(PAGED, 'text')}, {PROBABILITY} select * from pb)"""
+
 
 def with_(ctes: str, select: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{ctes.strip()}\n{select}"
@@ -345,6 +356,11 @@ at_ as (select doc_id, chunk_ix, page_id, pp.pt, coalesce(
         f"{RANGES}, {matched('rg')}, {SCORES}, {PROBABILITY}",
         f"select doc_id, {percent('h')} similarity_percent, {percent('ai')} ai_percent, {risk('h', 'ai')} risk_level from mp join pb using (doc_id)",
     ),
+    "analysis_percents": with_(
+        ANALYSIS,
+        f"""select doc_id, {percent('hi.h')} internal_percent, {percent('hw.h')} web_percent, {percent('ht.h')} total_percent, {percent('ai')} ai_percent,
+  {risk('ht.h', 'ai')} risk_level from hi join hw using (doc_id) join ht using (doc_id) join ha using (doc_id)""",
+    ),
     "line_normalize": f"select doc_id, {line_breaks('text')} clean from documents",
     "reference_tail": rf"""
 with t as (select doc_id, {line_breaks("case when doc_id % 3 = 0 then replace(text, '. ', '. Referencias ') else text end")} c from documents),

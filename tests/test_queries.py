@@ -41,3 +41,20 @@ def test_query_matches_sql(spark, sql, name):
 def test_every_query_has_sql():
     missing = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
     assert all(q == "pipeline" or q.startswith("op") for q in missing)
+
+
+def test_analysis_matches_sql(spark, sql):
+    test_query_matches_sql(spark, sql, "analysis_percents")
+
+
+def test_analysis_leaves_out_what_the_filter_drops(spark, tmp_path):
+    """Two documents share a reference list only: it is no match, and not part of what is measured."""
+    own = [" ".join(f"{stem}{i}" for i in range(200)) for stem in ("casa", "mesa")]
+    tail = "Referencias " + " ".join(f"fuente{i}" for i in range(90))
+    rows = [(i, f"{text}\n{tail}") for i, text in enumerate(own)] + [(2, own[0])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.doc_id: r for r in __spark_entry__.queries()["analysis_percents"](spark, str(tmp_path)).collect()}
+    raw = {r.doc_id: r.similarity_percent for r in __spark_entry__.queries()["internal_percent"](spark, str(tmp_path)).collect()}
+    assert raw[1] > 0 and got[1].internal_percent == got[1].total_percent == 0 and got[1].risk_level == "LOW"
+    assert got[0].internal_percent == 100 and raw[0] == 100 and got[2].internal_percent > 0
