@@ -321,6 +321,19 @@ class MergeModel:
             self._extend(start[size == j], j, final, last, count, marked, whole)
         return np.where(size > 0, whole[np.maximum(end - 1, 0)], 0)
 
+    def end_counts(self, word: bytes) -> np.ndarray:
+        """Token count of each prefix of one or more bytes of a word, taken as a whole word (0 inside a character)."""
+        flat = np.frombuffer(word, np.uint8).astype(np.int64)
+        start, end = np.array([0]), np.array([len(flat)])
+        last, count = self.prefix_tables(flat, start, end)
+        if not self.ending:
+            return count
+        final = self._tokens_from(flat, start, end, self.final)
+        marked, whole = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int64)
+        for j in range(1, len(flat) + 1):
+            self._extend(start, j, final, last, count, marked, whole)
+        return whole
+
     def _extend(self, start, j, token_at, last, count, to_last, to_count) -> None:
         """Fill the entry of the prefix of ``j`` bytes of the words that begin at ``start``."""
         open_ = start

@@ -54,6 +54,25 @@ def test_counts_and_cuts(spark, word_library):
             assert count(cut) <= budget and len(cut) >= len(max(fits, key=len)) - 1
 
 
+def test_cuts_are_the_longest_from_sums_at_every_word(spark, word_library, monkeypatch):
+    path = tokenizer(WORD_BPE)
+    count = lambda t: len(word_library.encode(t, add_special_tokens=False).ids)
+    given = ["first line\nsecond, they're unbelievably\nlong; don't", "東京都は日本の首都です", "caf\u0065\u0301 İstanbul  ΣΑΣ x",
+             "a !<|endoftext|>b <|endoftext|> end", "'s're 'r ''s 12 3½", "  lead and trail  "]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")
+    kept = {r.doc_id: r.prefix_tokens for r in token_counts.count_tokens(df, path).collect()}
+    assert [len(kept[i]) for i in (0, 1)] == [12, 2]
+    for i, t in enumerate(given):
+        for budget in range(count(t) + 1):
+            longest = max((t[:n] for n in range(len(t) + 1) if count(t[:n]) <= budget), key=len)
+            assert token_counts.cut_to_budget(t, budget, path) == longest, (t, budget)
+            assert token_counts.cut_to_budget(t, budget, path, kept[i]) == longest, (t, budget)
+    # with the kept sums, nothing but the one word is looked up
+    monkeypatch.setattr(token_counts.PrefixCounter, "running", None)
+    monkeypatch.setattr(token_counts.PrefixCounter, "learn", None)
+    assert given[0].startswith(token_counts.cut_to_budget(given[0], 6, path, kept[0]))
+
+
 def test_prefix_tables(word_library):
     model = token_counts.counter(tokenizer(WORD_BPE)).model
     import numpy as np
