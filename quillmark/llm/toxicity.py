@@ -7,6 +7,9 @@ of its runs. Two gated recurrent layers read a window of words forwards and
 backwards, attention pools their states, and a logistic unit gives the window's
 score. All overlapping windows of a text are scored, and the highest counts.
 
+Words of more than ``LONG_WORD`` bytes, as in scripts without spaces, are read as
+overlapping parts of whole characters, in training and scoring alike.
+
 Training uses a bounded sample of labelled rows (``SAMPLE``, the smallest hashes of
 the ids). Log-odds are counted on the executors over the sample's whole texts, each
 text leaving itself out; per text, the windows of highest log-odds and a few others
@@ -42,8 +45,8 @@ EMBED, STATE, ATTEND = 4, 8, 8
 #: Passes over the windows, at least, and steps, at least.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 400, 128, 0.01, 5
 SLICE_BYTES, ROUND = 4 << 20, 8192
-#: Bytes of a word that come to the driver for training.
-LONG_WORD = 64
+#: Bytes of a word, at most; longer ones are read as parts, of which two neighbours share at least SHARED bytes.
+LONG_WORD, SHARED = 64, 16
 
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -59,9 +62,32 @@ class Text:
     run_of: np.ndarray
 
 
+def parts(word: bytes) -> list[bytes]:
+    """A word as parts of whole characters, so that each of its runs is in one of them."""
+    out, a = [], 0
+    while len(word) - a > LONG_WORD:
+        b = a + LONG_WORD
+        while word[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(word[a:b])
+        a = b - SHARED
+        while word[a] & 0xC0 == 0x80:
+            a -= 1
+    return [*out, word[a:]]
+
+
+def parted(text: bytes) -> list[bytes]:
+    """The words of a text, long ones in parts."""
+    found = text.translate(FOLDED_WORDS).split()
+    return [p for w in found for p in parts(w)] if max(map(len, found), default=0) > LONG_WORD else found
+
+
 def read(texts: list[bytes]) -> Text:
-    """Buckets of the distinct words and of their character runs."""
+    """Buckets of the distinct words, long ones in parts, and of their character runs."""
     w = words(texts, FOLDED_WORDS)
+    if len(w.length) and w.length.max() > LONG_WORD:
+        texts = [b" ".join(parted(t)) for t in texts]
+        w = words(texts, FOLDED_WORDS)
     distinct, at, word = np.unique(w.hash1, return_index=True, return_inverse=True)
     mapped = np.frombuffer(b" ".join([t.translate(FOLDED_WORDS) for t in texts]) + b" ", np.uint8)
     start = np.flatnonzero(np.diff((mapped != SPACE).astype(np.int8), prepend=0) == 1)[at]
@@ -338,9 +364,9 @@ def _training_windows(rows: DataFrame, tables: tuple) -> list[tuple[str, int]]:
                     chosen += rest[:: max(1, len(rest) // OTHERS)][:OTHERS].tolist()
                 elif toxic:
                     chosen = chosen[:1]
-                split = raw.translate(FOLDED_WORDS).split()
+                split = parted(raw)
                 for c in chosen:
-                    found.append(b" ".join([w[:LONG_WORD] for w in split[begins[c] : ends[c]]]))
+                    found.append(b" ".join(split[begins[c] : ends[c]]))
                     label.append(toxic)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(label, pa.int32())], names=["window", "toxic"])
 

@@ -52,6 +52,19 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert score(df.limit(0), model).collect() == []
 
 
+def test_long_words_are_trained_on_whole(spark):
+    text = "東京都は日本の首都です" * 9 + "zorgblat" + "é" * 150
+    t, whole = toxicity.read([text.encode()]), text.encode()
+    assert len(t.word) > 1 and all(any(whole[i : i + 8] in p for p in toxicity.parts(whole)) for i in range(len(whole) - 7))
+    none = (np.zeros(1 << toxicity.WORD_BITS, np.float32), np.zeros(1 << toxicity.RUN_BITS, np.float32))
+    rows = spark.createDataFrame([(text, 1), ("a b", 0)], "text string, toxic int")
+    sent = [w for w, y in toxicity._training_windows(rows, (none, none)) if y]
+    assert any(b"zorgblat" in w for w in sent) and "é".encode() in sent[0]
+    assert all(p.decode() and len(p) <= toxicity.LONG_WORD for w in sent for p in w.split())
+    again = toxicity.read(sent)
+    assert set(again.run.tolist()) == set(t.run.tolist()) and set(again.bucket.tolist()) == set(t.bucket.tolist())
+
+
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
