@@ -17,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm.runtime import checkpoint
+
 SIZE = 10
 #: Windows that are broadcast at most: about 200 MB.
 MOST_WINDOWS = 1_000_000
 
+NUMBER = "__row"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,16 +60,16 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     ).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: (row, doc_id, n_words, size, start, words), a row for each verified hit and one (size null) for
-    each document; and (words, item_id), the items of each window."""
+    each document; and (words, item_id), the items of each window. ``row`` is a number that the documents have."""
     grams = benchmark_windows(benchmark, size)
     known = grams.select("size", "hash", F.col("words").alias("gram")).distinct()
     sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [size]
     if known.count() <= MOST_WINDOWS:
         known = F.broadcast(known)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", folded_words(F.col("text")).alias("w")
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", folded_words(F.col("text")).alias("w")
     )
     whole = F.expr("array(struct(cast(null as int) as size, -1 as start, cast(null as bigint) as hash))")
     each = _hashed(rows, sizes).select("row", "doc_id", "w", F.explode_outer(F.concat(whole, "windows")).alias("x"))
@@ -112,6 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id has no contaminated text."""
-    found, _ = hits(docs, benchmark, size)
-    return docs.join(found.where("size is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, whose text is not contaminated: each row by itself, also without an id."""
+    numbered = checkpoint(docs.withColumn(NUMBER, F.monotonically_increasing_id()))
+    found, _ = hits(numbered, benchmark, size, F.col(NUMBER))
+    gone = found.where("size is not null").select(F.col("row").alias(NUMBER)).distinct()
+    return numbered.join(gone, NUMBER, "left_anti").select(*docs.columns)

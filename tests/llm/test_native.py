@@ -87,6 +87,15 @@ def test_decontamination(spark):
     assert decontam.contamination(df.limit(0), bench).collect() == []
 
 
+def test_clean_documents_judges_each_row(spark):
+    leaked = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, leaked), (None, "clean text"), (5, leaked), (5, "clean too"), (6, leaked), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([(1, leaked)], "item_id bigint, text string")
+    got = {(r.doc_id, r.text) for r in decontam.clean_documents(df, bench).collect()}
+    assert got == {(None, "clean text"), (5, "clean too"), (7, None)}
+
+
 def test_url_filters(spark):
     day = lambda n: dt.datetime(2024, 1, n)
     entries = [("Bad.org", "add", day(5)), ("bad.org", "remove", day(9)), ("bad.org", "add", day(15)), ("a.bad.org", "add", day(7)), (None, "add", day(1)), ("tie.net", "add", day(3)), ("tie.net", "remove", day(3))]
