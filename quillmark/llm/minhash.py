@@ -258,8 +258,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(doc_id, class_id, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest id with the same words, ``component_id`` the smallest id that links of at
-    least ``similarity`` reach, and ``kept`` tells whether the row is that one.
+    least ``similarity`` reach, and ``kept`` tells whether the row is that one. The bands and the least
+    agreement are made for ``SIMILARITY``; a smaller one is refused, as they would drop its pairs unseen.
     """
+    if not similarity >= SIMILARITY:
+        raise ValueError(f"similarity must be at least {SIMILARITY}, for which the bands are made: {similarity}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     live = rows.where("doc_id is not null and text is not null")
     signed = checkpoint(sign(live))

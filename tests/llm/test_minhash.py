@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillmark.llm import minhash
 from quillmark.llm.minhash import near_duplicates
@@ -89,3 +90,11 @@ def test_agreement_follows_weighted_similarity():
         s = minhash.signatures(2, np.repeat([0, 1], n), np.append(e, e), np.append(a, b))
         agree.append((s[0] == s[1]).mean())
     assert abs(np.mean(agree) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.02
+
+
+def test_similarities_below_the_bands_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    for similarity in (0.6, 0.0, float("nan")):
+        with pytest.raises(ValueError):
+            near_duplicates(df, similarity)
+    assert [r.kept for r in near_duplicates(df, 0.9).collect()] == [True]
