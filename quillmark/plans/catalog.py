@@ -486,6 +486,14 @@ def prefetched_orders(spark, sf_dir):
     return rows.select("c_custkey", F.coalesce("orders", F.lit("")).alias("orders"))
 
 
+@query
+def prefetched_order_rows(spark, sf_dir):
+    """The same as rows, one of each order and of each customer without any, sorted by ranges however many one customer has."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.drop("o_custkey").orderBy("c_custkey", "o_orderdate", "o_orderkey").select("c_custkey", "o_orderkey")
+
+
 @query
 def lifecycle_status(spark, sf_dir):
     """The last event of each user decides the status of a job; error events fail it."""

@@ -439,6 +439,7 @@ and (contains(lower(p_name), 'a') or contains(lower(p_brand), 'a') or contains(l
 select c_custkey, coalesce(string_agg(o_orderkey::varchar, ',' order by o_orderdate, o_orderkey), '') orders
 from customer left join orders on o_custkey = c_custkey group by 1
 """,
+    "prefetched_order_rows": "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey",
     "lifecycle_status": """
 select user_id, count(*) steps, arg_max(event_type, (ts, event_id)) as last,
   case when arg_max(event_type, (ts, event_id)) <> 'error' then 'SUCCESS' else 'FAILED' end job_status,

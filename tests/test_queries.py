@@ -58,3 +58,14 @@ def test_analysis_leaves_out_what_the_filter_drops(spark, tmp_path):
     raw = {r.doc_id: r.similarity_percent for r in __spark_entry__.queries()["internal_percent"](spark, str(tmp_path)).collect()}
     assert raw[1] > 0 and got[1].internal_percent == got[1].total_percent == 0 and got[1].risk_level == "LOW"
     assert got[0].internal_percent == 100 and raw[0] == 100 and got[2].internal_percent > 0
+
+
+def test_prefetched_order_rows_match_sql_and_the_lists(spark, sql):
+    test_query_matches_sql(spark, sql, "prefetched_order_rows")
+    found = {}
+    for r in __spark_entry__.queries()["prefetched_order_rows"](spark, SF_DIR).collect():
+        found.setdefault(r.c_custkey, []).append("" if r.o_orderkey is None else str(r.o_orderkey))
+    lists = {r.c_custkey: r.orders for r in __spark_entry__.queries()["prefetched_orders"](spark, SF_DIR).collect()}
+    assert {c: ",".join(x) for c, x in found.items()} == lists
+    plan = __spark_entry__.queries()["prefetched_order_rows"](spark, SF_DIR)._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "collect_list" not in plan
