@@ -2,89 +2,121 @@
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A
 benchmark item gives all its windows of ``size`` words, or one window of all its
-words if it has fewer. Document windows are hashed from their words' hashes; those
-whose hash is in the broadcast set are verified on the words themselves. The set
-is broadcast while it has at most ``MOST_WINDOWS`` windows; a larger one is joined
-by shuffling the hashes.
+words if it has fewer. A document's word hashes are one array of its row; each
+place of it is a row for the length of one pipeline only, where the window's hash
+is made of its neighbours and looked up in the broadcast set, so a window that is
+not in the set costs a hash and a lookup and nothing is shuffled. Hits are verified
+on the words themselves. The set is broadcast in parts of at most ``MOST_WINDOWS``
+windows, each met by a pass over the documents.
 
 Defined cases: a null text or item has no words and no hits; an empty benchmark
 hits nothing; repeated items all count; every row of the documents gives a row,
-also rows that share an id or have none; other columns are left out.
+also rows that share an id or have none; other columns, whatever their names, are
+left out by ``contamination`` and kept by ``clean_documents``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.runtime import checkpoint
+from quillmark.llm.runtime import checkpoint, fresh
 
 SIZE = 10
-#: Windows that are broadcast at most: about 200 MB.
+#: Windows that are broadcast at once: about 200 MB.
 MOST_WINDOWS = 1_000_000
+#: Contaminated texts whose digests are broadcast at most: about 100 MB.
+MOST_TEXTS = 1_000_000
 
-NUMBER = "__row"
-
+# What is folded, and what is a word. The class is a positive one, as negated ones take seven times as long.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
-def folded_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def raw_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _windows(size: int) -> Column:
-    """Hashes of all windows of ``size`` words, from the array ``h`` of word hashes."""
-    inner = ", ".join(f"h[i + {k}]" for k in range(size))
-    return F.expr(
-        f"case when size(h) >= {size} then transform(sequence(0, size(h) - {size}), "
-        f"i -> struct({size} as size, i as start, xxhash64({inner}, {size}) as hash)) "
-        f"else cast(array() as array<struct<size int, start int, hash bigint>>) end"
-    )
+def folded(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def word_hashes(words: str) -> Column:
+    """Hashes of words in lower case: words that are equal once A-Z is folded have equal hashes."""
+    return F.expr(f"transform({words}, x -> xxhash64(lower(x)))")
+
 
+def _window_hash(size: int, start: str) -> Column:
+    """Hash of the window of ``size`` words at ``start``, from the array ``h`` of word hashes."""
+    inner = ", ".join(f"get(h, {start} + {k})" for k in range(size))
+    return F.expr(f"xxhash64({inner}, {size})")
 
-def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """``rows`` (with an array ``w`` of words) with an array ``windows`` of (size, start, hash)."""
-    rows = rows.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-    return rows.withColumn("windows", F.concat(*[_windows(s) for s in sizes])).drop("h")
+
+def _slice_of(words: str, start: str, size: str) -> Column:
+    return F.expr(f"array_join(slice({words}, {start} + 1, {size}), ' ')")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """(item_id, size, hash, words): the windows of each item, without repeats."""
-    items = benchmark.select("item_id", folded_words(F.col("text")).alias("w")).where("size(w) > 0")
-    items = _hashed(items, list(range(1, size + 1)))
-    own = F.expr(f"filter(windows, x -> x.size = least({size}, size(w)))")
-    each = items.select("item_id", "w", F.explode_outer(own).alias("x")).where("x is not null")
+    items = benchmark.select("item_id", raw_words(F.col("text")).alias("w")).where("size(w) > 0")
+    items = items.withColumn("h", word_hashes("w")).withColumn("size", F.least(F.size("w"), F.lit(size)))
+    each = items.select("*", F.explode(F.expr("sequence(0, size(w) - size)")).alias("start"))
+    value = F.lit(None).cast("long")
+    for n in range(1, size + 1):
+        value = F.when(F.col("size") == n, _window_hash(n, "start")).otherwise(value)
+    return each.select("item_id", "size", value.alias("hash"), folded(_slice_of("w", "start", "size")).alias("words")).distinct()
+
+
+def _met(rows: DataFrame, known: DataFrame, sizes: list[int], whole: bool) -> DataFrame:
+    """``rows`` (with the array ``w``) at each window that is in ``known``, as (…, size, start, words).
+
+    With ``whole`` each row is given once more, with null in these columns.
+    """
+    others = [c for c in rows.columns if c != "w"]
+    rows = rows.withColumn("h", word_hashes("w")).withColumn("n_words", F.size("w").cast("long"))
+    # one more place in front stands for the whole row
+    rows = rows.select(*others, "w", "n_words", "h", F.posexplode(F.expr("concat(array(0L), h)")).alias("place", "unused")).drop("unused")
+    if not whole:
+        rows = rows.where("place > 0")
+    if len(sizes) > 1:
+        rows = rows.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(f"place > 0 or size = {sizes[0]}")
+    else:
+        rows = rows.withColumn("size", F.lit(sizes[0]))
+    value = F.lit(None).cast("long")
+    for n in sizes:
+        value = F.when((F.col("size") == n) & (F.col("place") > 0) & (F.col("place") + (n - 1) <= F.col("n_words")), _window_hash(n, "place - 1")).otherwise(value)
+    each = rows.select(*others, "n_words", "w", "place", "size", value.alias("hash"))
+    known = known.select("hash", F.col("size").alias("of_size"), F.col("words").alias("gram"))
+    each = each.join(F.broadcast(known), "hash", "left" if whole else "inner")
+    same = (F.col("of_size") == F.col("size")) & (folded(_slice_of("w", "place - 1", "size")) == F.col("gram"))
+    hit = F.col("gram").isNotNull() & F.coalesce(same, F.lit(False))
+    each = each.where((F.col("place") == 0) | hit)
     return each.select(
-        "item_id", "x.size", "x.hash", F.expr("array_join(slice(w, x.start + 1, x.size), ' ')").alias("words")
-    ).distinct()
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (row, doc_id, n_words, size, start, words), a row for each verified hit and one (size null) for
-    each document; and (words, item_id), the items of each window. ``row`` is a number that the documents have."""
-    grams = benchmark_windows(benchmark, size)
-    known = grams.select("size", "hash", F.col("words").alias("gram")).distinct()
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [size]
-    if known.count() <= MOST_WINDOWS:
-        known = F.broadcast(known)
-    rows = docs.select(
-        (F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", folded_words(F.col("text")).alias("w")
-    )
-    whole = F.expr("array(struct(cast(null as int) as size, -1 as start, cast(null as bigint) as hash))")
-    each = _hashed(rows, sizes).select("row", "doc_id", "w", F.explode_outer(F.concat(whole, "windows")).alias("x"))
-    each = each.select("row", "doc_id", "w", "x.size", "x.start", "x.hash")
-    found = each.join(known, ["size", "hash"], "left").where("size is null or gram is not null")
-    found = found.select(
-        "row",
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        "size",
-        "start",
-        F.expr("array_join(slice(w, start + 1, size), ' ')").alias("words"),
-        "gram",
+        *others,
+        "n_words",
+        F.when(hit, F.col("size")).alias("size"),
+        F.when(hit, F.col("place") - 1).alias("start"),
+        F.when(hit, F.col("gram")).alias("words"),
     )
-    return found.where("size is null or words = gram").drop("gram"), grams.select("words", "item_id").distinct()
+
+
+def hits(docs: DataFrame, grams: DataFrame, others: list[Column], whole: bool) -> DataFrame:
+    """A row for each verified window of ``grams`` in a text of ``docs``: (others, n_words, size, start, words).
+
+    With ``whole`` there is also a row of each document, with nulls. ``others`` must come out the same in each pass,
+    if the windows take more than one.
+    """
+    known = grams.select("size", "hash", "words").distinct()
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [SIZE]
+    passes = -(-known.count() // MOST_WINDOWS) or 1
+    rows = docs.select(*others, raw_words(F.col("text")).alias("w"))
+    each = [
+        _met(rows, known.where(F.pmod("hash", F.lit(passes)) == k) if passes > 1 else known, sizes, whole and k == 0)
+        for k in range(passes)
+    ]
+    return reduce(DataFrame.union, each)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -93,31 +125,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     ``n_hit`` counts words inside any occurrence of a window of ``benchmark`` (item_id, text), ``items`` is the
     sorted array of the items, as strings, of which a window occurs.
     """
-    found, items = hits(docs, benchmark, size)
+    grams = checkpoint(benchmark_windows(benchmark, size))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    if grams.count() > MOST_WINDOWS:
+        rows = checkpoint(rows)  # numbers must be the same in each pass
+    # written once: the numbers are then fixed, and the texts are read a single time
+    found = checkpoint(hits(rows, grams, [F.col("row"), F.col("doc_id")], True))
     earlier = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.coalesce("size", F.lit(1))
+    end = F.col("start") + F.col("size")
+    spans = found.where("size is not null").select("row", "words", "start", "size")
     covered = end - F.greatest("start", F.coalesce(F.max(end).over(earlier), F.lit(0)))
-    spans = found.withColumn("fresh", F.when(F.col("size").isNull(), 0).otherwise(F.greatest(covered, F.lit(0))))
-    rows = spans.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.sum("fresh").alias("n_hit"),
-        F.array_compact(F.collect_set(F.when(F.col("size").isNotNull(), F.col("words")))).alias("grams"),
-    )
-    some = rows.where("n_hit > 0").select("row", F.explode("grams").alias("words")).join(items, "words")
-    some = some.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return rows.drop("grams").join(some, "row", "left").select(
+    counts = spans.select("row", F.greatest(covered, F.lit(0)).alias("new")).groupBy("row").agg(F.sum("new").cast("long").alias("n_hit"))
+    named = grams.select("words", F.col("item_id").cast("string").alias("item")).distinct()
+    met = spans.select("row", "words").distinct().join(named, "words").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = found.where("size is null").select("row", "doc_id", "n_words").join(counts.join(met, "row"), "row", "left")
+    return rows.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not contaminated: each row by itself, also without an id."""
-    numbered = checkpoint(docs.withColumn(NUMBER, F.monotonically_increasing_id()))
-    found, _ = hits(numbered, benchmark, size, F.col(NUMBER))
-    gone = found.where("size is not null").select(F.col("row").alias(NUMBER)).distinct()
-    return numbered.join(gone, NUMBER, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, whose text is not contaminated.
+
+    Rows are judged by their text, of which a digest goes around: also rows without an id, or with a repeated one.
+    """
+    grams = checkpoint(benchmark_windows(benchmark, size))
+    digest = fresh("digest", docs.columns)
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    gone = checkpoint(hits(docs, grams, [key.alias(digest)], False).select(digest).distinct())
+    if gone.count() <= MOST_TEXTS:
+        gone = F.broadcast(gone)
+    return docs.withColumn(digest, key).join(gone, digest, "left_anti").select(*docs.columns)

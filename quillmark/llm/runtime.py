@@ -38,6 +38,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not among ``taken``, whose case does not count."""
+    used, out = {c.lower() for c in taken}, f"__{name}"
+    while out in used:
+        out += "_"
+    return out
+
+
 def slices(sizes, most: int):
     """Consecutive [a, b) ranges whose sizes add up to at most ``most`` (or hold a single item)."""
     a = total = 0
