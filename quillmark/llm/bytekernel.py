@@ -8,7 +8,7 @@ import numpy as np
 
 SPACE = 0x20
 #: Bytes of text that one round of array operations covers; longer texts are cut between words.
-ROUND_BYTES = 1 << 21
+ROUND_BYTES = 1 << 19
 
 #: Separators are space and \t..\r; everything else stays as it is.
 PLAIN_WORDS = bytes(SPACE if b == SPACE or 9 <= b <= 13 else b for b in range(256))

@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,11 @@ K, ROWS = 125, 5
 BANDS = K // ROWS
 #: Agreeing coordinates under which a pair is taken to be below the threshold: 4 standard deviations.
 LEAST_AGREEING = math.floor(K * SIMILARITY - 4 * math.sqrt(K * SIMILARITY * (1 - SIMILARITY)))
-#: Documents of a band that one task compares with each other.
+#: Documents of a band that one task compares with each other, and bytes of their texts, about.
 BLOCK = 512
-SLICE_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 2 << 20
 
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,9 +121,8 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                part = texts[a:b]
+            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE_BYTES):
+                part = [t.encode() for t in batch.column(1).slice(a, b - a).to_pylist()]
                 same = [xxhash.xxh3_128_digest(b" ".join(t.translate(FOLDED_WORDS).split())) for t in part]
                 text, element, count = shingles(part)
                 signed = signatures(len(part), text, element, count.astype(np.float64))
@@ -152,11 +154,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([t.encode() for t in batch.column(c).to_pylist()] for c in (2, 3))
-            for a, b in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], SLICE_BYTES):
+            for a, b in slices(pc.add(*(pc.binary_length(batch.column(c)) for c in (2, 3))).to_pylist(), SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                keep = pa.array(_similarities(left[a:b], right[a:b]) >= similarity)
-                yield part.select(["a", "b"]).filter(keep)
+                left, right = ([t.encode() for t in part.column(c).to_pylist()] for c in (2, 3))
+                yield part.select(["a", "b"]).filter(pa.array(_similarities(left, right) >= similarity))
 
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -183,7 +184,9 @@ def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     """``rows`` with columns i, j, own: every two blocks of a key's rows meet in one group (key, i, j)."""
     rows = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    # dealt out by all three: the join leaves the rows dealt by the key alone, which a grouping would keep
+    return rows.repartition(key, "i", "j")
 
 
 def _pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
@@ -226,7 +229,7 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
     ``rows`` is (part, id, component, signature, text).
     """
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    sizes = sizes.select("part", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / SLICE_BYTES)).alias("blocks"))
+    sizes = sizes.select("part", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         component, number = np.unique(group["component"].to_numpy(), return_inverse=True)
