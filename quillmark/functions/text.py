@@ -38,7 +38,9 @@ def squeeze(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Lower case without accents; runs of anything but a-z and 0-9 become one space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    low = F.lower(text)
+    plain = F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def line_breaks(text: Column) -> Column:

@@ -33,15 +33,14 @@ def chunks(docs: DataFrame, w: Windowing, id_col: str = "doc_id") -> DataFrame:
         F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)({T.TOKEN})"), F.lit(0)), F.length).alias("u"),
         F.transform(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.length).alias("t"),
     )
-    rows = rows.where(F.size("u") >= w.least)
-    strides = f"transform(sequence(0, (size(u) - 1) div {w.step}), s -> aggregate(slice(u, s * {w.step} + 1, {w.step}), 0, (a, x) -> a + x))"
+    strides = f"transform(sequence(0, greatest(size(u) - 1, 0) div {w.step}), s -> aggregate(slice(u, s * {w.step} + 1, {w.step}), 0, (a, x) -> a + x))"
     rows = rows.withColumn("strides", F.expr(strides))
-    window = f"""transform(sequence(0, (size(u) - {w.least}) div {w.step}), i -> struct(
+    window = f"""case when size(u) >= {w.least} then transform(sequence(0, (size(u) - {w.least}) div {w.step}), i -> struct(
       i as ix,
       aggregate(slice(strides, 1, i), 0, (a, x) -> a + x) as base,
       u[i * {w.step}] - t[i * {w.step}] as gap,
       aggregate(slice(u, i * {w.step} + 1, {w.size}), 0, (a, x) -> a + x) as span,
-      least({w.size}, size(u) - i * {w.step}) as n))"""
+      least({w.size}, size(u) - i * {w.step}) as n)) end"""
     # outer, as a filter on the size of the array would be pushed through all that makes it
     each = rows.select(id_col, "text", F.explode_outer(F.expr(window)).alias("x")).where("x is not null")
     each = each.select(
@@ -54,7 +53,8 @@ def chunks(docs: DataFrame, w: Windowing, id_col: str = "doc_id") -> DataFrame:
     )
     excerpt = F.expr("substring(text, start_offset + 1, end_offset - start_offset)")
     each = each.withColumn("text_excerpt", excerpt).drop("text")
-    each = each.withColumn("normalized_text", T.normalized(F.col("text_excerpt"))).where("normalized_text <> ''")
+    # never empty, as each token leaves a word
+    each = each.withColumn("normalized_text", T.normalized(F.col("text_excerpt")))
     return each.withColumn("content_hash", F.sha2("normalized_text", 256))
 
 

@@ -1,4 +1,10 @@
-"""Fragment similarity joins: an inverted index on shingles, exact integer scores, best candidate, covered percent."""
+"""Fragment similarity joins: an inverted index on shingles, exact integer scores, best candidate, covered percent.
+
+Equal texts form a class, and only classes are compared: copies cost nothing but their rows. Shingles of classes meet,
+and counts of shared shingles are summed before they are shuffled. A phrase can only be contained in a candidate that
+has the shingles of its inner words, so the count bounds the phrase bonus from above: pairs that cannot reach the
+threshold go, then those that cannot be the best of their chunk, and texts are looked up for what is left.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,39 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.operators.chunks import with_shingles
 from quillmark.operators.intervals import covered
-from quillmark.params import EXCERPT, MATCHES, PHRASE_LEAST_WORDS, PHRASE_SIZES, PHRASE_STEP, Scoring
+from quillmark.params import EXCERPT, MATCHES, PHRASE_LEAST_WORDS, PHRASE_SIZES, PHRASE_STEP, SHINGLE_WORDS, Scoring
+
+#: Percent by which rounded scores may differ that compare as equal.
+SLACK = 0.02
+
+
+def _key(name: str) -> dict[str, Column]:
+    """96 bits of hashes by which equal texts are known."""
+    return {f"{name}1": F.xxhash64("normalized_text"), f"{name}2": F.hash("normalized_text")}
+
+
+def classes(rows: DataFrame, name: str, owner: str | None = None) -> DataFrame:
+    """(name1, name2, name_text, name_owner): the distinct texts; the owner of all rows of a text, null if there are several."""
+    rows = rows.select("normalized_text", (F.col(owner) if owner else F.lit(None)).cast("long").alias("owner"))
+    found = rows.withColumns(_key(name)).groupBy(f"{name}1", f"{name}2", F.col("normalized_text").alias(f"{name}_text"))
+    found = found.agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    return found.withColumn(f"{name}_owner", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
+
+
+def _least_shared(size: int) -> str:
+    """SQL for the fewest distinct shingles of inner words among the phrases of ``size`` words; ``__w`` are the words, ``__s`` their shingles."""
+    inner = f"greatest(least({size}, size(__w)) - 2 - {SHINGLE_WORDS - 1}, 0)"
+    starts = f"sequence(0, greatest(size(__w) - {size}, 0) div {PHRASE_STEP})"
+    each = f"array_min(transform({starts}, i -> size(array_distinct(slice(__s, i * {PHRASE_STEP} + 2, {inner})))))"
+    return f"case when size(__s) = size(array_distinct(__s)) then {inner} else {each} end"
+
+
+def with_needs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``need0`` .. ``need2``: shared shingles without which no phrase of each size can be contained."""
+    joined = ", ".join(f"__w[i + {k}]" for k in range(SHINGLE_WORDS))
+    shingles = f"case when size(__w) < {SHINGLE_WORDS} then array() else transform(sequence(0, size(__w) - {SHINGLE_WORDS}), i -> hash({joined})) end"
+    rows = rows.withColumn("__w", F.split(text, " ")).withColumn("__s", F.expr(shingles))
+    return rows.withColumns({f"need{i}": F.expr(_least_shared(n)) for i, n in enumerate(PHRASE_SIZES)}).drop("__w", "__s")
 
 
 def shared(query: DataFrame, candidate: DataFrame, q_key: list[str], c_key: list[str], apart: Column | None = None) -> DataFrame:
@@ -19,7 +57,9 @@ def shared(query: DataFrame, candidate: DataFrame, q_key: list[str], c_key: list
     """
 
     def postings(rows: DataFrame, key: list[str], size: str) -> DataFrame:
-        rows = with_shingles(rows).select(*key, F.size("shingles").alias(size), F.explode_outer("shingles").alias("s")).where("s is not null")
+        # never null, or Spark would infer a filter and push it through all that makes the array
+        number = F.coalesce(F.size("shingles"), F.lit(0))
+        rows = with_shingles(rows).select(*key, number.alias(size), F.explode_outer("shingles").alias("s")).where("s is not null")
         return rows.select(*key, size, F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"))
 
     met = postings(query, q_key, "c").join(postings(candidate, c_key, "p"), ["h1", "h2"])
@@ -28,6 +68,26 @@ def shared(query: DataFrame, candidate: DataFrame, q_key: list[str], c_key: list
     return met.groupBy(*q_key, *c_key, "c", "p").agg(F.count("*").alias("k"))
 
 
+def within_reach(query: DataFrame, candidate: DataFrame, s: Scoring) -> DataFrame:
+    """(q1, q2, c1, c2, c, p, k, sure, highest): pairs of classes that may reach the threshold.
+
+    ``highest`` is an upper bound of the score in percent; ``sure`` tells that each row of the query class has a row of
+    another owner in the candidate class.
+    """
+    needs = [f"need{i}" for i in range(len(PHRASE_SIZES))]
+    asked = with_needs(query, "q_text").withColumnRenamed("q_text", "normalized_text")
+    others = F.expr("q_owner is null or c_owner is null or q_owner <> c_owner")
+    pairs = shared(asked, candidate.withColumnRenamed("c_text", "normalized_text"), ["q1", "q2", "q_owner", *needs], ["c1", "c2", "c_owner"], others)
+    bonus = F.lit(0)
+    for need, points in reversed(list(zip(needs, s.bonus, strict=True))):
+        bonus = F.when(F.col("k") >= F.col(need), points).otherwise(bonus)
+    pairs = pairs.withColumns({x: F.col(x).cast("long") for x in ("c", "p")}).withColumn("most", bonus)
+    n, d = _points(s, "most")
+    pairs = pairs.where(F.expr(f"{n} >= {s.threshold} * {d}"))
+    sure = F.expr("q_owner is not null or c_owner is null")
+    return pairs.select("q1", "q2", "c1", "c2", "c", "p", "k", sure.alias("sure"), F.expr(f"({n}) / cast({d} as double)").alias("highest"))
+
+
 def _phrases(words: str, size: int) -> str:
     """SQL for the phrases of ``size`` words that begin at every fifth word (all words, if there are fewer)."""
     last = f"greatest(size({words}) - {size}, 0)"
@@ -61,13 +121,49 @@ def scored(pairs: DataFrame, s: Scoring) -> DataFrame:
     return pairs.withColumn("hundredths", F.expr(T.half_even("100 * n", "d"))).drop("n", "d")
 
 
-def contenders(pairs: DataFrame, s: Scoring, key: list[str]) -> DataFrame:
-    """Pairs that a bonus can still make the best of their chunk: base score within the largest bonus of the best."""
-    pairs = pairs.withColumns({x: F.col(x).cast("long") for x in ("k", "c", "p")})
+def contenders(pairs: DataFrame, s: Scoring) -> DataFrame:
+    """Pairs of classes that can still be the best of a chunk: at least as high as a sure pair without a bonus."""
     n, d = _points(s, "0")
-    base = F.expr(f"({n}) / cast({d} as double)")
-    best = F.max("base").over(Window.partitionBy(*key))
-    return pairs.withColumn("base", base).withColumn("best", best).where(f"base >= best - {s.bonus[0]}.02").drop("base", "best")
+    base = F.when(F.col("sure"), F.expr(f"({n}) / cast({d} as double)"))
+    best = F.max(base).over(Window.partitionBy("q1", "q2"))
+    return pairs.withColumn("best", F.coalesce(best, F.lit(0))).where(F.col("highest") >= F.col("best") - SLACK).drop("best")
+
+
+def class_scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only: bool) -> DataFrame:
+    """(q1, q2, c1, c2, k, bonus, hundredths) of pairs of classes at or above the threshold.
+
+    With ``best_only``, pairs that cannot be the best of any of their chunks are left out.
+    """
+    pairs = within_reach(query, candidate, s)
+    if best_only:
+        pairs = contenders(pairs, s)
+    pairs = pairs.join(query.drop("q_owner"), ["q1", "q2"]).join(candidate.drop("c_owner"), ["c1", "c2"])
+    return scored(with_bonus(pairs, s), s).select("q1", "q2", "c1", "c2", "k", "bonus", "hundredths")
+
+
+def every_pair(scores: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows and candidates (each with normalized_text) of the classes that ``scores`` pairs."""
+    rows, candidates = (x.withColumns(_key(n)).drop("normalized_text") for x, n in ((rows, "q"), (candidates, "c")))
+    return scores.join(rows, ["q1", "q2"]).join(candidates, ["c1", "c2"]).drop("q1", "q2", "c1", "c2")
+
+
+def newest(candidates: DataFrame, owner: str, place: str) -> DataFrame:
+    """(c1, c2, owner, place, next_owner, next_place): the last row of each class, and the last one of another owner."""
+    rows = candidates.withColumns(_key("c")).groupBy("c1", "c2", owner).agg(F.max(place).alias(place))
+    w = Window.partitionBy("c1", "c2").orderBy(F.col(owner).desc())
+    rows = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    pick = [F.max(F.when(F.col("rn") == i, F.col(c))).alias(n + c) for i, n in ((1, ""), (2, "next_")) for c in (owner, place)]
+    return rows.groupBy("c1", "c2").agg(*pick)
+
+
+def best_of_others(scores: DataFrame, rows: DataFrame, candidates: DataFrame, owner: str, place: str, own: str = "doc_id") -> DataFrame:
+    """``rows`` with the best candidate of another owner, the newest among equals, and its class: (…, owner, place, hundredths)."""
+    rows = rows.withColumns(_key("q")).drop("normalized_text")
+    pairs = scores.join(newest(candidates, owner, place), ["c1", "c2"]).join(rows, ["q1", "q2"])
+    second = F.col(owner) == F.col(own)
+    pairs = pairs.withColumn(place, F.when(second, F.col(f"next_{place}")).otherwise(F.col(place)))
+    pairs = pairs.withColumn(owner, F.when(second, F.col(f"next_{owner}")).otherwise(F.col(owner))).where(F.col(owner).isNotNull())
+    return best_of_chunk(pairs, [own, "chunk_ix"], [F.col(owner).desc(), F.col(place).desc()])
 
 
 def best_of_chunk(pairs: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

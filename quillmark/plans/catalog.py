@@ -15,6 +15,7 @@ from quillmark.operators import access, chunks, intervals, reports, sections, si
 from quillmark.params import BANK, BANK_NEWEST, EXCERPT, INTERNAL, INTERNAL_QUERY, WEB, WEB_QUERY
 from quillmark.plans.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.sources import files, pages
+from quillmark.sources.tables import dealt, table
 
 QUERIES: dict = {}
 
@@ -24,12 +25,12 @@ def query(function):
     return function
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "pages"))
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,28 +99,22 @@ def _bank_and_query(spark, sf_dir, asked: DataFrame | None = None) -> tuple[Data
 PAIR = ["doc_id", "chunk_ix", "cand_doc", "cand_chunk"]
 
 
-def _texts(pairs: DataFrame, asked: DataFrame, bank: DataFrame) -> DataFrame:
-    """Pairs with both normalised texts and the chunk's place."""
-    pairs = pairs.join(asked.withColumnRenamed("normalized_text", "q_text"), ["doc_id", "chunk_ix"])
-    return pairs.join(bank.withColumnRenamed("normalized_text", "c_text"), [c for c in bank.columns if c != "normalized_text" and c in pairs.columns])
-
-
-def _internal_pairs(spark, sf_dir, prune: bool, texts: DataFrame | None = None) -> DataFrame:
-    bank, asked = _bank_and_query(spark, sf_dir, texts)
-    pairs = similarity.shared(asked, bank, ["doc_id", "chunk_ix"], ["cand_doc", "cand_chunk"], F.col("doc_id") != F.col("cand_doc"))
-    if prune:
-        pairs = similarity.contenders(pairs, INTERNAL, ["doc_id", "chunk_ix"])
-    return similarity.scored(similarity.with_bonus(_texts(pairs, asked, bank), INTERNAL), INTERNAL)
+def _internal_scores(asked: DataFrame, bank: DataFrame, best_only: bool) -> DataFrame:
+    """Scores of the fragments' distinct texts."""
+    q, c = similarity.classes(asked, "q", "doc_id"), similarity.classes(bank, "c", "cand_doc")
+    return similarity.class_scores(q, c, INTERNAL, best_only)
 
 
 @query
 def internal_pairs(spark, sf_dir):
-    return _internal_pairs(spark, sf_dir, False).select(*PAIR, "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent"))
+    bank, asked = _bank_and_query(spark, sf_dir)
+    pairs = similarity.every_pair(_internal_scores(asked, bank, False), asked, bank).where("doc_id <> cand_doc")
+    return pairs.select(*PAIR, "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent"))
 
 
 def _internal_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
-    newest = [F.col("cand_doc").desc(), F.col("cand_chunk").desc()]
-    return similarity.best_of_chunk(_internal_pairs(spark, sf_dir, True, texts), ["doc_id", "chunk_ix"], newest)
+    bank, asked = _bank_and_query(spark, sf_dir, texts)
+    return similarity.best_of_others(_internal_scores(asked, bank, True), asked, bank, "cand_doc", "cand_chunk")
 
 
 @query
@@ -146,7 +141,7 @@ def internal_percent(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    return pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", "title", "text")
+    return pages.page_texts(html(spark, sf_dir)).select("page_id", "title", "text")
 
 
 @query
@@ -170,13 +165,14 @@ def web_candidates(spark, sf_dir):
     return pages.candidates(results)
 
 
-def _web(spark, sf_dir, prune: bool, texts: DataFrame | None = None) -> DataFrame:
-    web = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", T.normalized(F.col("text")).alias("normalized_text"))
+def _web(spark, sf_dir, best_only: bool, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs of fragments and pages at or above the threshold; of equal pages the first one, if only the best is asked for."""
+    web = pages.page_texts(html(spark, sf_dir)).select("page_id", T.normalized(F.col("text")).alias("normalized_text"))
     asked = chunks.chunks(docs(spark, sf_dir) if texts is None else texts, WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
-    pairs = similarity.shared(asked, web, ["doc_id", "chunk_ix"], ["page_id"])
-    if prune:
-        pairs = similarity.contenders(pairs, WEB, ["doc_id", "chunk_ix"])
-    return similarity.scored(similarity.with_bonus(_texts(pairs, asked, web), WEB), WEB)
+    scores = similarity.class_scores(similarity.classes(asked, "q"), similarity.classes(web, "c"), WEB, best_only)
+    if best_only:
+        web = web.groupBy("normalized_text").agg(F.min("page_id").alias("page_id"))
+    return similarity.every_pair(scores, asked, web)
 
 
 def _web_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
@@ -197,9 +193,10 @@ def web_best(spark, sf_dir):
 
 @query
 def web_excerpt(spark, sf_dir):
-    best = _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id", "q_text", "c_text")
-    texts = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", F.col("text").alias("page_text"))
-    return similarity.excerpt(best.join(texts, "page_id")).select("doc_id", "chunk_ix", "page_id", "excerpt")
+    best = _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id")
+    asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", F.col("normalized_text").alias("q_text"))
+    texts = pages.page_texts(html(spark, sf_dir)).select("page_id", F.col("text").alias("page_text"), T.normalized(F.col("text")).alias("c_text"))
+    return similarity.excerpt(best.join(asked, ["doc_id", "chunk_ix"]).join(texts, "page_id")).select("doc_id", "chunk_ix", "page_id", "excerpt")
 
 
 @query
@@ -385,7 +382,7 @@ def report_sources(spark, sf_dir):
         "doc_id", F.lit("INTERNAL").alias("source_type"), "rank", F.concat(F.lit("document "), "cand_doc").alias("title"),
         F.lit("Repositorio interno").alias("domain"), T.percent(F.col("hundredths")).alias("matched_percent"),
     )
-    known = pages.page_texts(table(spark, sf_dir, "pages")).select("page_id", "title", "domain")
+    known = pages.page_texts(html(spark, sf_dir)).select("page_id", "title", "domain")
     web = similarity.top_matches(_web_best(spark, sf_dir)).join(known, "page_id").select(
         "doc_id", F.lit("WEB").alias("source_type"), "rank", "title", "domain", T.percent(F.col("hundredths")).alias("matched_percent")
     )
