@@ -11,7 +11,9 @@ where these differ, the group is split by the text itself.
 Defined cases: a null text is an empty one, which has one empty line; text without
 a repeated chunk is returned as it is; a row without an id keeps its text and is
 nobody's earlier copy; rows that share an id do not precede each other. Columns
-other than id and text are kept by ``drop_repeats`` and left out elsewhere.
+other than id and text, whatever their names, are kept by ``drop_repeats`` (save
+for ``n_lines`` and ``n_removed``, which it makes) and left out elsewhere. An
+empty table gives no rows. A hash that many chunks have is met by broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.runtime import checkpoint
+from quillmark.llm.runtime import checkpoint, met_by_groups
 
 #: Low bits of a chunk's key that hold its place in the document; the others are of its hash.
 PLACE_BITS = 28
@@ -53,8 +55,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     each = each.where(F.col("c").contains("\n") & F.col("c").rlike(r"\S"))
     each = checkpoint(each.select("doc_id", "ix", F.xxhash64("c").alias("hash")))
     groups = each.groupBy("hash").agg(F.min(F.expr(PLACE)).alias("first"), F.count("*").alias("times")).where("times > 1")
-    found = each.join(groups.select("hash", "first"), "hash")
+    groups = checkpoint(groups)
     # the bytes of all chunks in groups, read once a document
+    found = met_by_groups(each, groups.select("hash", "times"), "hash", "times")
     wanted = found.groupBy("doc_id").agg(F.collect_set(F.expr(KEY)).alias("keys"))
     texts = with_chunks(live.join(wanted, "doc_id"))
     places = F.expr(f"transform(array_intersect({KEYS}, keys), k -> cast(k & {(1 << PLACE_BITS) - 1} as int))")
@@ -62,7 +65,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     texts = texts.select("doc_id", "x.ix", F.xxhash64("x.c").alias("hash"), "x.c").where("c is not null")
     sides = texts.groupBy("hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     verdict = checkpoint(sides.select("hash", (F.col("lo") == F.col("hi")).alias("same")))
-    plain = found.join(verdict.where("same"), "hash").where(f"{PLACE} <> first").select("doc_id", "ix", "hash")
+    plain = met_by_groups(each, groups.join(verdict.where("same"), "hash"), "hash", "times")
+    plain = plain.where(f"{PLACE} <> first").select("doc_id", "ix", "hash")
     if verdict.where("not same").isEmpty():
         return plain.groupBy("doc_id").agg(F.collect_set(F.expr(KEY)).alias("keys"))
     mixed = texts.join(verdict.where("not same").select("hash"), "hash")
@@ -74,21 +78,22 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` rid of repeated chunks, and ``n_lines``, ``n_removed`` (lines).
 
-    A null text stays null.
+    A null text stays null. The caller's columns travel in one structure, so that their names may be any.
     """
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    rows = docs.select(*others).join(gone, F.col("doc_id") == F.col("__id"), "left")
-    touched = F.col("__keys").isNotNull()
-    rows = rows.withColumn("__whole", F.col("text")).withColumn("text", F.when(touched, F.col("text")))
-    rows = with_chunks(rows)
-    left = f"transform(array_except({KEYS}, __keys), k -> chunks[cast(k & {(1 << PLACE_BITS) - 1} as int)])"
-    rows = rows.withColumn("__left", F.expr(left))
-    kept = F.array_join("__left", "\n")
-    n = F.size(F.split(F.coalesce("__whole", F.lit("")), "\n", -1)).cast("long")
-    n_left = F.when(F.size("__left") == 0, 0).otherwise(F.size(F.split(kept, "\n", -1))).cast("long")
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    name = {c: "`" + c.replace("`", "``") + "`" for c in others}
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias("id"), "keys")
+    rows = docs.select(F.struct(*[F.col(name[c]) for c in others]).alias("row"), "doc_id", F.col("text").alias("whole"))
+    rows = rows.join(gone, F.col("doc_id") == F.col("id"), "left").select("row", "whole", "keys")
+    touched = F.col("keys").isNotNull()
+    rows = with_chunks(rows.withColumn("text", F.when(touched, F.col("whole"))))
+    left = f"transform(array_except({KEYS}, keys), k -> chunks[cast(k & {(1 << PLACE_BITS) - 1} as int)])"
+    rows = rows.withColumn("left", F.expr(left))
+    kept = F.array_join("left", "\n")
+    n = F.size(F.split(F.coalesce("whole", F.lit("")), "\n", -1)).cast("long")
+    n_left = F.when(F.size("left") == 0, 0).otherwise(F.size(F.split(kept, "\n", -1))).cast("long")
     return rows.select(
-        *[F.when(touched, kept).otherwise(F.col("__whole")).alias("text") if c == "text" else F.col(c) for c in others],
+        *[F.when(touched, kept).otherwise(F.col("whole")).alias(c) if c == "text" else F.col(f"row.{name[c]}").alias(c) for c in others],
         n.alias("n_lines"),
         F.when(touched, n - n_left).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
     Only where neither the setting nor a checkpoint folder exists (as in local
-    tests) is a folder of our own set.
+    tests) is a folder of our own set; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return named or context.getCheckpointDir()
 
@@ -46,6 +49,22 @@ def fresh(name: str, taken: list[str]) -> str:
     return out
 
 
+#: A key with more than this share of all rows is hot; there can be no more than its inverse of them.
+HOT_SHARE = 1e-4
+
+
+def met_by_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row of each key with its number of rows.
+
+    Rows of hot keys meet them by broadcast, at most 1 / HOT_SHARE rows of ``groups``, and stay where they are; others
+    are shuffled by key. ``rows`` is read three times.
+    """
+    hot = F.col(size) > F.lit(HOT_SHARE) * F.lit(rows.count())
+    few = F.broadcast(groups.where(hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def slices(sizes, most: int):
     """Consecutive [a, b) ranges whose sizes add up to at most ``most`` (or hold a single item)."""
     a = total = 0

@@ -52,6 +52,30 @@ def test_line_dedup(spark):
     assert [r.n_removed for r in line_dedup.drop_repeats(alone).collect()] == [0, 0, 0]
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["chunks", "__id", "__keys", "__line", "keys", "row", "whole", "left", "hash", "a.b", "id"]
+    text = "one\ntwo\nthree"
+    rows = [(i, text, *[f"{c}{i}" for c in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sorted(line_dedup.drop_repeats(df).collect())
+    assert [tuple(r)[2:-2] for r in got] == [r[2:] for r in rows]
+    assert [(r.text, r.n_removed) for r in got] == [(text, 0), ("", 3), ("", 3)]
+
+
+def test_line_dedup_splits_hot_hashes(spark):
+    """Shares decide between the two ways of meeting, not results."""
+    from quillmark.llm import runtime
+
+    rows = [(i, "hot a\nhot b\nhot c" if i % 2 else f"cold {i // 4}\nx\ny") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = []
+    for share in (0.0, 0.1, 1.0):
+        old, runtime.HOT_SHARE = runtime.HOT_SHARE, share
+        found.append(sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.drop_repeats(df).collect()))
+        runtime.HOT_SHARE = old
+    assert found[0] == found[1] == found[2] and sum(n > 0 for _, _, n in found[0]) == 149
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
