@@ -163,23 +163,6 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-class Forest:
-    """Union-find over few numbered things; ``join`` tells whether two were apart."""
-
-    def __init__(self, n: int):
-        self.root = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.root[i] = j
-        return i != j
-
-
 def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     """``rows`` with columns i, j, own: every two blocks of a key's rows meet in one group (key, i, j)."""
     rows = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -189,19 +172,30 @@ def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     return rows.repartition(key, "i", "j")
 
 
-def _pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """(x, others): rows of other components, after row x, whose signatures agree in LEAST_AGREEING coordinates."""
-    sig = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), K)
-    component, own = group["component"].to_numpy(), group["own"].to_numpy()
-    across = group["i"].iat[0] != group["j"].iat[0]
-    for x in range(len(group) - 1):
-        rest = np.arange(x + 1, len(group))
-        rest = rest[(component[rest] != component[x]) & ((own[rest] != own[x]) | (not across))]
-        if len(rest):
-            rest = rest[(sig[rest] == sig[x]).sum(axis=1) >= LEAST_AGREEING]
+class Group:
+    """Rows of two blocks, or of one: which of them may be linked, and which are known to be in one component."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.component, self.label = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        self.number = self.label.copy()
+        self.signature = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), K)
+        across = rows["i"].iat[0] != rows["j"].iat[0]
+        self.own = rows["own"].to_numpy() if across else np.arange(len(rows))
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, others): rows of other components and blocks, after row x, that agree with it in LEAST_AGREEING coordinates."""
+        for x in range(len(self.label) - 1):
+            rest = x + 1 + np.flatnonzero((self.label[x + 1 :] != self.label[x]) & (self.own[x + 1 :] != self.own[x]))
+            rest = rest[(self.signature[rest] == self.signature[x]).sum(axis=1) >= LEAST_AGREEING]
             if len(rest):
                 yield x, rest
 
+    def forest(self, x: int, others: np.ndarray) -> Iterator[int]:
+        """Those of ``others``, one of each component, that are joined to row x."""
+        while len(others := others[self.label[others] != self.label[x]]):
+            yield int(others[0])
+            self.label[self.label == self.label[others[0]]] = self.label[x]
+
 
 def _maybe_linked(bands: DataFrame) -> DataFrame:
     """(a, b): components that may be linked; of each block of a band a spanning forest.
@@ -211,14 +205,10 @@ def _maybe_linked(bands: DataFrame) -> DataFrame:
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        component, number = np.unique(group["component"].to_numpy(), return_inverse=True)
-        forest, found = Forest(len(component)), []
-        for x, rest in _pairs(group):
-            for y in np.unique(number[rest]).tolist():
-                if forest.join(int(number[x]), y):
-                    found.append((component[number[x]], component[y]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        group = Group(rows)
+        found = [(group.number[x], group.number[y]) for x, rest in group.candidates() for y in group.forest(x, rest)]
+        return pd.DataFrame(group.component[np.array(found, np.int64).reshape(-1, 2)], columns=["a", "b"])
 
     return _dealt(bands, "band", sizes).groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
@@ -231,28 +221,26 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = sizes.select("part", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        component, number = np.unique(group["component"].to_numpy(), return_inverse=True)
-        ids = group["id"].to_numpy()
-        text, value, count = shingles([t.encode() for t in group["text"]])
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        group, ids = Group(rows), rows["id"].to_numpy()
+        text, value, count = shingles([t.encode() for t in rows["text"]])
         # each occurrence is an element of its own, so that multisets become sets
         row = np.repeat(np.arange(len(text)), count)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         element = np.unique(mix(value[row] ^ mix(nth.astype(np.uint64))), return_inverse=True)[1]
-        size = np.bincount(text[row], minlength=len(group))
+        size = np.bincount(text[row], minlength=len(rows))
         begin = np.cumsum(size) - size
-        forest, found, mark = Forest(len(component)), [], np.zeros(len(element) + 1, bool)
-        for x, rest in _pairs(group):
-            mark[:] = False
-            mark[element[begin[x] : begin[x] + size[x]]] = True
-            for y in rest.tolist():
-                if forest.find(int(number[x])) == forest.find(int(number[y])):
-                    continue
-                shared = int(mark[element[begin[y] : begin[y] + size[y]]].sum())
-                if shared >= similarity * (int(size[x]) + int(size[y]) - shared):
-                    forest.join(int(number[x]), int(number[y]))
-                    found.append((ids[x], ids[y]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found, mark = [], np.zeros(len(element) + 1, bool)
+        for x, rest in group.candidates():
+            own = element[begin[x] : begin[x] + size[x]]
+            mark[own] = True
+            first = np.cumsum(size[rest]) - size[rest]
+            at = np.repeat(begin[rest] - first, size[rest]) + np.arange(int(size[rest].sum()))
+            shared = np.add.reduceat(mark[element[at]].astype(np.int64), first)
+            mark[own] = False
+            linked = rest[shared >= similarity * (size[x] + size[rest] - shared)]
+            found += [(ids[x], ids[y]) for y in group.forest(x, linked)]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return _dealt(rows, "part", sizes).groupBy("part", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
