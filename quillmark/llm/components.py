@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.runtime import checkpoint
+from quillmark.llm.runtime import checkpoint, met_by_groups
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     In turn, each id's larger neighbours are tied to its smallest neighbour, and
     its smaller neighbours and itself likewise, until nothing changes. Neighbours
-    are never gathered: only their minimum is, so hubs pre-aggregate, and each
-    round is written to the shared checkpoint folder. Null ends, loops and
+    are never gathered: only their minimum is, so hubs pre-aggregate, their edges
+    meet it by broadcast, and each round is written to the shared checkpoint folder. Null ends, loops and
     repeated edges count for nothing; no edges give no rows.
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
@@ -27,8 +27,8 @@ def connected(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = met_by_groups(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(small.union(least).distinct())

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ WORD_BITS, RUN_BITS = 16, 17
 EMBED, STATE, ATTEND = 4, 8, 8
 #: Passes over the windows, at least, and steps, at least.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 400, 128, 0.01, 5
-SLICE_BYTES, ROUND = 4 << 20, 8192
+SLICE_BYTES, ROUND = 1 << 20, 2048
 #: Bytes of a word, at most; longer ones are read as parts, of which two neighbours share at least SHARED bytes.
 LONG_WORD, SHARED = 64, 16
 
@@ -410,16 +411,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(n_toxic / (n_toxic + n_other), *split(odds(toxic, other, n_toxic, n_other)), network)
 
 
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """Scores of a column of texts, of which only a slice is taken apart at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    found = [model.scores([(t or "").encode() for t in texts.slice(a, b - a).to_pylist()]) for a, b in slices(sizes, SLICE_BYTES)]
+    return np.concatenate([np.empty(0), *found])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            found = [shared.value.scores(texts[a:b]) for a, b in slices([len(t) for t in texts], SLICE_BYTES)]
+            found = _scores(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(found), pa.float64())], names=["doc_id", "score"]
+                [batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -434,8 +441,6 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
-            found = [shared.value.scores(texts[a:b]) for a, b in slices([len(t) for t in texts], SLICE_BYTES)]
-            yield batch.filter(pa.array(np.concatenate(found) < least))
+            yield batch.filter(pa.array(_scores(batch.column(place), shared.value) < least))
 
     return docs.mapInArrow(run, docs.schema)
