@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ LEAST_BITS, MOST_BITS = 16, 29
 #: Bytes of text to a counter of a row: about six to an occurrence of a key.
 BYTES_A_COUNTER = 8
 PAGE = 1 << 16
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 2 << 20
 #: Key occurrences that a task holds before it writes out what it has counted.
 HELD = 1 << 20
 #: Runs of marked windows that are broadcast at most: about 50 MB.
@@ -51,6 +53,16 @@ _B1, _B2, _B3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25), np
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+def _sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of its column ``text``."""
+    for a, b in slices(pc.binary_length(batch.column(text)).to_pylist(), SLICE_BYTES):
+        yield batch.slice(a, b - a)
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
 class Blocks:
     """Blocks of a list of texts: text, first window and number of windows of each, and its key."""
 
@@ -119,9 +131,8 @@ def _sketch_pages(docs: DataFrame, size: int, bits: int) -> DataFrame:
             )
 
         for batch in batches:
-            texts = [t.encode() for t in batch.column(0).to_pylist()]
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                key = Blocks(texts[a:b], size, False).key
+            for texts in _sliced(batch, 0):
+                key = Blocks(_bytes(texts.column(0)), size, False).key
                 held.extend(_counters(key, bits))
                 n += len(key)
                 if n >= HELD:
@@ -192,10 +203,8 @@ def candidates(docs: DataFrame, size: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, z in slices([len(t) for t in texts], SLICE_BYTES):
-                b = Blocks(texts[a:z], size, True)
+            for part in _sliced(batch, 1):
+                ids, b = np.asarray(part.column(0)), Blocks(_bytes(part.column(1)), size, True)
                 one, two = _counters(b.key, bits)
                 kept = np.flatnonzero((seen[one >> 3] >> (one & 7)) & (seen[two >> 3] >> (two & 7)) & np.uint8(1))
                 if not len(kept):
@@ -212,7 +221,7 @@ def candidates(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(b.key[kept].view(np.int64)),
                         pa.array(kind.view(np.int64)),
                         pa.Array.from_buffers(pa.binary(), len(kept), [None, offset, pa.py_buffer(hashes.byteswap())]),
-                        pa.array(ids[a:z][b.text[kept]]),
+                        pa.array(ids[b.text[kept]]),
                         pa.array(start - b.first[b.text[kept]], pa.int32()),
                     ],
                     names=["key", "kind", "windows", "doc_id", "start"],
@@ -272,19 +281,19 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, kept = [], [], []
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, z in slices([len(t) for t in texts], SLICE_BYTES):
-                b = Blocks(texts[a:z], size, True)
+            for part in _sliced(batch, 1):
+                total, gone, kept = [], [], []
+                texts = _bytes(part.column(1))
+                b = Blocks(texts, size, True)
                 text, window = _repeats_within(b, b.window_hash(size)) if len(b.key) else (b.text, b.start)
                 order = np.argsort(text, kind="stable")
                 text, window = text[order], window[order]
-                for d in range(a, z):
+                for d in range(len(texts)):
                     found = texts[d].split()
-                    lo, hi = np.searchsorted(text, [d - a, d - a + 1])
-                    start = window[lo:hi] - b.first[d - a] if hi > lo else np.empty(0, np.int64)
+                    lo, hi = np.searchsorted(text, [d, d + 1])
+                    start = window[lo:hi] - b.first[d] if hi > lo else np.empty(0, np.int64)
                     end = start + size
-                    runs = batch.column(2)[d]
+                    runs = part.column(2)[d]
                     if runs.is_valid:
                         own = np.asarray(runs.values.field("start"), np.int64)
                         start = np.append(start, own)
@@ -298,10 +307,10 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     total.append(len(found))
                     gone.append(len(found) - len(left))
                     kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept"],
+                )
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
     return rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(drop, schema)
