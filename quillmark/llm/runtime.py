@@ -8,9 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources import tables
+from quillmark.sources.tables import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(tables.table(spark, sf_dir, name))
 
 
 def shared_folder(spark: SparkSession) -> str:
