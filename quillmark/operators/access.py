@@ -21,9 +21,10 @@ def visible_to(documents: DataFrame, user_id, role: str, is_superuser: bool = Fa
 
 
 def login(users: DataFrame, name: str) -> DataFrame:
-    """The user whose name or mail address it is, whatever the case."""
+    """The user whose name or mail address it is, whatever the case; of several the first by name."""
     low = F.lower(F.lit(name))
-    return users.where((F.lower("username") == low) | (F.lower("email") == low)).select("username", "is_active").limit(1)
+    found = users.where((F.lower("username") == low) | (F.lower("email") == low)).select("username", "is_active")
+    return found.orderBy("username", "is_active").limit(1)
 
 
 def search(rows: DataFrame, terms: str, fields: list[str]) -> DataFrame:

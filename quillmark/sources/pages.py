@@ -10,8 +10,8 @@ from quillmark.params import BLOCKED_SUFFIXES, LEAST_PAGE
 
 #: Elements whose content is not part of the visible text.
 HIDDEN = "script|style|noscript|svg|iframe|nav|footer|header"
-#: Characters of a page that are read.
-MOST_CHARS = 10 * 1024 * 1024
+#: Bytes of a page that are read, a multiple of the blocks in which the reading stops.
+MOST_BYTES = 10 * 1024 * 1024
 # The named entities that are decoded, the ampersand last.
 ENTITIES = (("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
@@ -22,8 +22,14 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def bounded(html: Column) -> Column:
+    """The first MOST_BYTES of a page as text; a character that is cut becomes a replacement sign."""
+    head = F.decode(F.substring(html.cast("binary"), 1, MOST_BYTES), "UTF-8")
+    return F.when(F.octet_length(html) > MOST_BYTES, head).otherwise(html)
+
+
 def visible_text(html: Column) -> Column:
-    html = F.regexp_replace(F.substring(F.coalesce(html, F.lit("")), 1, MOST_CHARS), r"(?s)<!--.*?-->", " ")
+    html = F.regexp_replace(bounded(F.coalesce(html, F.lit(""))), r"(?s)<!--.*?-->", " ")
     html = F.regexp_replace(html, rf"(?is)<({HIDDEN})\b[^>]*>.*?</\1\s*>", " ")
     return squeeze(decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
 
@@ -43,8 +49,10 @@ def blocked(url: Column) -> Column:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, domain, title, text) of pages that are not blocked and have enough visible text."""
+    # from an array of one, as a filter on the text itself would be pushed down to the scan and make the text twice
+    text = F.explode_outer(F.array(visible_text(F.col("html"))))
     rows = pages.where(~blocked(F.col("url"))).select(
-        "page_id", "url", domain(F.col("url")).alias("domain"), title(F.col("html")).alias("found"), visible_text(F.col("html")).alias("text")
+        "page_id", "url", domain(F.col("url")).alias("domain"), title(F.col("html")).alias("found"), text.alias("text")
     )
     rows = rows.where(F.length("text") >= LEAST_PAGE)
     shown = F.coalesce(F.nullif("found", F.lit("")), F.nullif("domain", F.lit("")), F.col("url"))

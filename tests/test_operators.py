@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import re
 import zipfile
 
@@ -186,3 +187,41 @@ def test_files(spark, tmp_path):
     assert kinds == {".docx": files.DOCX, "b.pdf": files.PDF, "c.txt": None}
     row = files.extract_docx(found).first()
     assert row.content == ("uno " * 40).strip() + "\na b" and row.word_count == 42
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/workbook.xml", "<x/>")
+    broken = buffer.getvalue().replace(b"xl/workbook", b"word/no_doc")
+    for name, content in {"a.zip": buffer.getvalue(), "b.docx": broken, "c.docx": broken[:40], "d.pdf": b"%PDF-", "e.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path[-6:]: r.error for r in files.extract(files.read_files(spark, str(tmp_path))).collect()}
+    assert got == {"/a.zip": "unsupported", "b.docx": "unreadable", "c.docx": "unreadable", "/d.pdf": "unsupported", "/e.txt": "unsupported"}
+
+
+def test_bank_stream_sees_what_arrived_earlier(spark, tmp_path):
+    from quillmark.streaming.bank import grow_bank
+
+    source, bank, seen = str(tmp_path / "in"), str(tmp_path / "bank"), []
+    for ids in ([1, 2], [3]):
+        spark.createDataFrame([(i, words(120, f"w{i}")) for i in ids], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
+        look = lambda batch, known: seen.append(({r.doc_id for r in batch.collect()}, {r.doc_id for r in known.collect()}))
+        grow_bank(stream, bank, str(tmp_path / "log"), look).awaitTermination()
+    assert seen == [({1, 2}, set()), ({3}, {1, 2})]
+    assert {r.doc_id for r in spark.read.parquet(bank).collect()} == {1, 2, 3}
+
+
+def test_needs_bound_bonuses(spark):
+    """No phrase of a size is contained without as many shared shingles as the bound says, words repeated or not."""
+    rng, rows = random.Random(4), []
+    for _ in range(60):
+        chunk = [f"v{rng.randrange(rng.choice([2, 6, 60]))}" for _ in range(rng.randint(12, 60))]
+        at, n = rng.randrange(len(chunk)), rng.randint(8, 30)
+        rows.append((" ".join(chunk), "x" + " ".join(chunk[at : at + n]) + "y"))
+    pairs = similarity.with_needs(spark.createDataFrame(rows, "q_text string, c_text string"), "q_text")
+    shingles = lambda t: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)}
+    for r in similarity.with_bonus(pairs, INTERNAL).collect():
+        k = len(shingles(r.q_text) & shingles(r.c_text))
+        assert r.bonus <= max([0, *(p for p, need in zip(INTERNAL.bonus, (r.need0, r.need1, r.need2)) if k >= need)])
