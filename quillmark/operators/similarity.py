@@ -20,15 +20,20 @@ from quillmark.params import EXCERPT, MATCHES, PHRASE_LEAST_WORDS, PHRASE_SIZES,
 SLACK = 0.02
 
 
-def _key(name: str) -> dict[str, Column]:
-    """96 bits of hashes by which equal texts are known."""
-    return {f"{name}1": F.xxhash64("normalized_text"), f"{name}2": F.hash("normalized_text")}
+def _key(rows: DataFrame, name: str) -> dict[str, Column]:
+    """96 bits of hashes by which equal texts are known; where rows have a column ``within``, by its value too."""
+    of = ["normalized_text", *(["within"] if "within" in rows.columns else [])]
+    return {f"{name}1": F.xxhash64(*of), f"{name}2": F.hash(*of)}
 
 
 def classes(rows: DataFrame, name: str, owner: str | None = None) -> DataFrame:
-    """(name1, name2, name_text, name_owner): the distinct texts; the owner of all rows of a text, null if there are several."""
-    rows = rows.select("normalized_text", (F.col(owner) if owner else F.lit(None)).cast("long").alias("owner"))
-    found = rows.withColumns(_key(name)).groupBy(f"{name}1", f"{name}2", F.col("normalized_text").alias(f"{name}_text"))
+    """(name1, name2, name_text, name_owner): the distinct texts; the owner of all rows of a text, null if there are several.
+
+    Rows with a column ``within`` are only compared with those of the same value; those of none are with nothing.
+    """
+    within = [c for c in rows.columns if c == "within"]
+    rows = rows.select("normalized_text", *within, (F.col(owner) if owner else F.lit(None)).cast("long").alias("owner")).dropna(subset=within or ["normalized_text"])
+    found = rows.withColumns(_key(rows, name)).groupBy(f"{name}1", f"{name}2", F.col("normalized_text").alias(f"{name}_text"), *within)
     found = found.agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
     return found.withColumn(f"{name}_owner", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
 
@@ -52,15 +57,16 @@ def with_needs(rows: DataFrame, text: str) -> DataFrame:
 def shared(query: DataFrame, candidate: DataFrame, q_key: list[str], c_key: list[str], apart: Column | None = None) -> DataFrame:
     """(q_key, c_key, k, c, p): shingles that two rows share, and how many each has.
 
-    Shingles meet by 96 bits of hashes; a shingle of many candidates is dealt with by the adaptive skew join, and
-    counts are summed before they are shuffled.
+    Shingles meet by 96 bits of hashes (and within equal values of a column ``within``, if both have it); a shingle of
+    many candidates is dealt with by the adaptive skew join, and counts are summed before they are shuffled.
     """
 
     def postings(rows: DataFrame, key: list[str], size: str) -> DataFrame:
         # never null, or Spark would infer a filter and push it through all that makes the array
         number = F.coalesce(F.size("shingles"), F.lit(0))
-        rows = with_shingles(rows).select(*key, number.alias(size), F.explode_outer("shingles").alias("s")).where("s is not null")
-        return rows.select(*key, size, F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"))
+        of = ["s", *(c for c in rows.columns if c == "within")]
+        rows = with_shingles(rows).select(*key, *of[1:], number.alias(size), F.explode_outer("shingles").alias("s")).where("s is not null")
+        return rows.select(*key, size, F.xxhash64(*of).alias("h1"), F.hash(*of).alias("h2"))
 
     met = postings(query, q_key, "c").join(postings(candidate, c_key, "p"), ["h1", "h2"])
     if apart is not None:
@@ -137,19 +143,19 @@ def class_scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only:
     pairs = within_reach(query, candidate, s)
     if best_only:
         pairs = contenders(pairs, s)
-    pairs = pairs.join(query.drop("q_owner"), ["q1", "q2"]).join(candidate.drop("c_owner"), ["c1", "c2"])
+    pairs = pairs.join(query.select("q1", "q2", "q_text"), ["q1", "q2"]).join(candidate.select("c1", "c2", "c_text"), ["c1", "c2"])
     return scored(with_bonus(pairs, s), s).select("q1", "q2", "c1", "c2", "k", "bonus", "hundredths")
 
 
 def every_pair(scores: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """The rows and candidates (each with normalized_text) of the classes that ``scores`` pairs."""
-    rows, candidates = (x.withColumns(_key(n)).drop("normalized_text") for x, n in ((rows, "q"), (candidates, "c")))
+    rows, candidates = (x.withColumns(_key(x, n)).drop("normalized_text", "within") for x, n in ((rows, "q"), (candidates, "c")))
     return scores.join(rows, ["q1", "q2"]).join(candidates, ["c1", "c2"]).drop("q1", "q2", "c1", "c2")
 
 
 def newest(candidates: DataFrame, owner: str, place: str) -> DataFrame:
     """(c1, c2, owner, place, next_owner, next_place): the last row of each class, and the last one of another owner."""
-    rows = candidates.withColumns(_key("c")).groupBy("c1", "c2", owner).agg(F.max(place).alias(place))
+    rows = candidates.withColumns(_key(candidates, "c")).groupBy("c1", "c2", owner).agg(F.max(place).alias(place))
     w = Window.partitionBy("c1", "c2").orderBy(F.col(owner).desc())
     rows = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     pick = [F.max(F.when(F.col("rn") == i, F.col(c))).alias(n + c) for i, n in ((1, ""), (2, "next_")) for c in (owner, place)]
@@ -158,7 +164,7 @@ def newest(candidates: DataFrame, owner: str, place: str) -> DataFrame:
 
 def best_of_others(scores: DataFrame, rows: DataFrame, candidates: DataFrame, owner: str, place: str, own: str = "doc_id") -> DataFrame:
     """``rows`` with the best candidate of another owner, the newest among equals, and its class: (…, owner, place, hundredths)."""
-    rows = rows.withColumns(_key("q")).drop("normalized_text")
+    rows = rows.withColumns(_key(rows, "q")).drop("normalized_text", "within")
     pairs = scores.join(newest(candidates, owner, place), ["c1", "c2"]).join(rows, ["q1", "q2"])
     second = F.col(owner) == F.col(own)
     pairs = pairs.withColumn(place, F.when(second, F.col(f"next_{place}")).otherwise(F.col(place)))

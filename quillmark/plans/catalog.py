@@ -112,9 +112,14 @@ def internal_pairs(spark, sf_dir):
     return pairs.select(*PAIR, "k", "bonus", T.percent(F.col("hundredths")).alias("matched_percent"))
 
 
+def internal_best_of(asked: DataFrame, bank: DataFrame) -> DataFrame:
+    """Each fragment with the best fragment of another document, the newest among equals."""
+    return similarity.best_of_others(_internal_scores(asked, bank, True), asked, bank, "cand_doc", "cand_chunk")
+
+
 def _internal_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
     bank, asked = _bank_and_query(spark, sf_dir, texts)
-    return similarity.best_of_others(_internal_scores(asked, bank, True), asked, bank, "cand_doc", "cand_chunk")
+    return internal_best_of(asked, bank)
 
 
 @query
@@ -175,7 +180,7 @@ def _web(spark, sf_dir, best_only: bool, texts: DataFrame | None = None) -> Data
     return similarity.every_pair(scores, asked, web)
 
 
-def _web_best(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
+def web_best_of(spark, sf_dir, texts: DataFrame | None = None) -> DataFrame:
     return similarity.best_of_chunk(_web(spark, sf_dir, True, texts), ["doc_id", "chunk_ix"], [F.col("page_id")])
 
 
@@ -188,12 +193,12 @@ def web_pairs(spark, sf_dir):
 
 @query
 def web_best(spark, sf_dir):
-    return _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id", T.percent(F.col("hundredths")).alias("matched_percent"))
+    return web_best_of(spark, sf_dir).select("doc_id", "chunk_ix", "page_id", T.percent(F.col("hundredths")).alias("matched_percent"))
 
 
 @query
 def web_excerpt(spark, sf_dir):
-    best = _web_best(spark, sf_dir).select("doc_id", "chunk_ix", "page_id")
+    best = web_best_of(spark, sf_dir).select("doc_id", "chunk_ix", "page_id")
     asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", F.col("normalized_text").alias("q_text"))
     texts = pages.page_texts(html(spark, sf_dir)).select("page_id", F.col("text").alias("page_text"), T.normalized(F.col("text")).alias("c_text"))
     return similarity.excerpt(best.join(asked, ["doc_id", "chunk_ix"]).join(texts, "page_id")).select("doc_id", "chunk_ix", "page_id", "excerpt")
@@ -201,14 +206,14 @@ def web_excerpt(spark, sf_dir):
 
 @query
 def web_percent(spark, sf_dir):
-    found = similarity.matched_percent(docs(spark, sf_dir), similarity.top_matches(_web_best(spark, sf_dir)))
+    found = similarity.matched_percent(docs(spark, sf_dir), similarity.top_matches(web_best_of(spark, sf_dir)))
     return found.select("doc_id", T.percent(F.col("hundredths")).alias("web_percent"))
 
 
 def _ranges(spark, sf_dir) -> DataFrame:
     place = ["doc_id", "start_offset", "end_offset"]
     internal = similarity.top_matches(_internal_best(spark, sf_dir)).select(*place)
-    return internal.unionByName(similarity.top_matches(_web_best(spark, sf_dir)).select(*place))
+    return internal.unionByName(similarity.top_matches(web_best_of(spark, sf_dir)).select(*place))
 
 
 @query
@@ -287,7 +292,7 @@ def analysis_percents(spark, sf_dir):
     d = analysed(spark, sf_dir)
     place = ["doc_id", "start_offset", "end_offset"]
     internal = similarity.top_matches(_internal_best(spark, sf_dir, d)).select(*place)
-    web = similarity.top_matches(_web_best(spark, sf_dir, d)).select(*place)
+    web = similarity.top_matches(web_best_of(spark, sf_dir, d)).select(*place)
     rows = style.probability(d, style.scores(d)).withColumnRenamed("hundredths", "ai")
     for name, found in {"internal": internal, "web": web, "total": internal.unionByName(web)}.items():
         rows = rows.join(similarity.matched_percent(d, found).withColumnRenamed("hundredths", name), "doc_id")
@@ -383,7 +388,7 @@ def report_sources(spark, sf_dir):
         F.lit("Repositorio interno").alias("domain"), T.percent(F.col("hundredths")).alias("matched_percent"),
     )
     known = pages.page_texts(html(spark, sf_dir)).select("page_id", "title", "domain")
-    web = similarity.top_matches(_web_best(spark, sf_dir)).join(known, "page_id").select(
+    web = similarity.top_matches(web_best_of(spark, sf_dir)).join(known, "page_id").select(
         "doc_id", F.lit("WEB").alias("source_type"), "rank", "title", "domain", T.percent(F.col("hundredths")).alias("matched_percent")
     )
     return internal.unionByName(web)

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.operators import access, records, similarity
 from quillmark.operators.chunks import chunks
-from quillmark.params import BANK
-from quillmark.plans.catalog import _web_best, docs
-from quillmark.plans.oracle import TOKENS, WEB_BEST, fragments, with_
+from quillmark.operators.reports import latest
+from quillmark.params import BANK, BANK_NEWEST, INTERNAL, INTERNAL_QUERY
+from quillmark.plans.catalog import docs, internal_best_of, web_best_of
+from quillmark.plans.oracle import TOKENS, WEB_BEST, best, fragments, matched, scored, shingled, with_
 from quillmark.sources.tables import table
 
 QUERIES: dict = {}
@@ -181,8 +183,21 @@ def indexed_counts(spark, sf_dir):
 @query
 def report_web_findings(spark, sf_dir):
     """A finding for each of a report's web matches, keyed by its rank, as it replaces those of the last run."""
-    top = similarity.top_matches(_web_best(spark, sf_dir))
-    return top.select("doc_id", "rank", "page_id", "start_offset", "end_offset", (F.col("hundredths").cast("decimal(7,0)") / 100).cast("decimal(5,2)").alias("confidence"))
+    top = similarity.top_matches(web_best_of(spark, sf_dir))
+    return top.select("doc_id", "rank", "page_id", "start_offset", "end_offset", T.percent(F.col("hundredths")).alias("confidence"))
+
+
+@query
+def institution_percent(spark, sf_dir):
+    """Similarity with the newest fragments of the document's own institution only, as an analysis takes its candidates."""
+    source = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("within"))
+    d = docs(spark, sf_dir)
+    bank = chunks(d, BANK).join(source, "doc_id").where("within is not null")
+    bank = latest(bank, "within", [F.col("doc_id").desc(), F.col("chunk_ix").desc()], BANK_NEWEST)
+    bank = bank.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text", "within")
+    asked = chunks(d, INTERNAL_QUERY).join(source, "doc_id").select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text", "within")
+    top = similarity.top_matches(internal_best_of(asked, bank))
+    return similarity.matched_percent(d, top).select("doc_id", T.percent(F.col("hundredths")).alias("similarity_percent"))
 
 
 SHARED = f"""
@@ -262,5 +277,18 @@ where id % 4 <> 0 and institution_id is not null group by 1, 2 having count(*) >
 select 'document' as model, id, row_number() over (partition by owner_id order by created_at desc, id desc) as position from d
 union all select 'certificate', id, row_number() over (partition by institution_id order by created_at desc, id desc) from ce""",
     "indexed_counts": with_(f"{TOKENS}, {fragments('f', BANK)}", "select doc_id, count(*) n from f group by 1"),
+    "institution_percent": with_(
+        f"""{TOKENS}, {fragments('qi', INTERNAL_QUERY)}, {fragments('bf', BANK)},
+bk as (select bf.* from bf join documents using (doc_id) where source is not null
+  qualify row_number() over (partition by source order by doc_id desc, chunk_ix desc) <= {BANK_NEWEST}),
+{shingled('qs', 'qi', 'doc_id, chunk_ix', 'c')}, {shingled('bs', 'bk', 'doc_id, chunk_ix', 'p')},
+pr as (select q.doc_id, q.chunk_ix, b.doc_id cand_doc, b.chunk_ix cand_chunk, c, p, count(*) k
+  from qs q join documents x on x.doc_id = q.doc_id join bs b on q.sh = b.sh and q.doc_id <> b.doc_id
+  join documents y on y.doc_id = b.doc_id and y.source = x.source group by all),
+pt as (select pr.*, qi.start_offset, qi.end_offset, qi.t qt, bk.t ct from pr join qi using (doc_id, chunk_ix)
+  join bk on bk.doc_id = cand_doc and bk.chunk_ix = cand_chunk),
+{scored('pt', INTERNAL)}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}""",
+        "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
+    ),
     "report_web_findings": with_(WEB_BEST, "select doc_id, rank, page_id, start_offset, end_offset, (h::decimal(7,0) / 100)::decimal(5,2) confidence from tp"),
 }
