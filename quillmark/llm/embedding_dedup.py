@@ -76,8 +76,14 @@ def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: i
     return out.reshape(n, -1)
 
 
-def _hashed(classes: DataFrame) -> DataFrame:
-    """(label, dim, rep, size, unit, keys): unit vectors with all their bucket numbers."""
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision, also of very large or small numbers."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hashed(classes: DataFrame, number: str) -> DataFrame:
+    """(label, dim, rep, size, vector, keys): vectors, packed as given (``number`` is their type), with all their bucket numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,27 +92,25 @@ def _hashed(classes: DataFrame) -> DataFrame:
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.array([f["embedding"][i] for i in at], np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = buckets(x)
+                keys = buckets(_units(x))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f["label"][i] for i in at], pa.int64()),
                         pa.array(dims[at], pa.int32()),
                         pa.array([f["rep"][i] for i in at], pa.int64()),
                         pa.array([f["size"][i] for i in at], pa.int64()),
-                        pa.array([v.tobytes() for v in x], pa.binary()),
+                        pa.array([v.tobytes() for v in x.astype(number)], pa.binary()),
                         pa.array(list(keys), pa.list_(pa.int64())),
                     ],
-                    names=["label", "dim", "rep", "size", "unit", "keys"],
+                    names=["label", "dim", "rep", "size", "vector", "keys"],
                 )
 
     return classes.mapInArrow(
-        run, "label bigint, dim int, rep bigint, size bigint, unit binary, keys array<bigint>"
+        run, "label bigint, dim int, rep bigint, size bigint, vector binary, keys array<bigint>"
     )
 
 
-def _compared(hashed: DataFrame, cosine: float) -> DataFrame:
+def _compared(hashed: DataFrame, cosine: float, number: str) -> DataFrame:
     """(rep, links, other): links of each vector counted in a block, or (other not null) an edge of its forest."""
     bucket = ["label", "dim", "key"]
     keys = hashed.select("label", "dim", F.explode(F.array_distinct("keys")).alias("key"))
@@ -117,7 +121,7 @@ def _compared(hashed: DataFrame, cosine: float) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = [*bucket, "i", "j"]
     rows = rows.select(
-        *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "unit", "keys"
+        *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "vector", "keys"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +131,10 @@ def _compared(hashed: DataFrame, cosine: float) -> DataFrame:
                 continue
             part = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
             begin = _begins(part, group)
-            yield _links(part, begin, cosine)
+            yield _links(part, begin, cosine, number)
             held = part.slice(int(begin[-1]))  # its group may go on in the next batch
         if held is not None:
-            yield _links(held, np.array([0, len(held)]), cosine)
+            yield _links(held, np.array([0, len(held)]), cosine, number)
 
     dealt = rows.repartition(*group).sortWithinPartitions(*group)
     return dealt.mapInArrow(run, "rep bigint, links bigint, other bigint")
@@ -146,18 +150,18 @@ def _begins(part: pa.RecordBatch, group: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _links(part: pa.RecordBatch, at: np.ndarray, cosine: float) -> pa.RecordBatch:
+def _links(part: pa.RecordBatch, at: np.ndarray, cosine: float, number: str) -> pa.RecordBatch:
     """Links and forest edges within the groups at[k] .. at[k + 1] of the rows."""
     label = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "rep", "size", "dim")}
-    units = part.column("unit")
-    first_byte = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(part) + 1]
-    values = np.frombuffer(units.buffers()[2], np.uint8)
+    vectors = part.column("vector")
+    first_byte = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(part) + 1]
+    values = np.frombuffer(vectors.buffers()[2], np.uint8)
     keys = part.column("keys").flatten().to_numpy().reshape(len(part), TABLES, PROBES)
     out: tuple[list, list, list] = ([], [], [])
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if hi - lo < 2:
             continue
-        x = values[first_byte[lo] : first_byte[hi]].view(np.float64).reshape(hi - lo, label["dim"][lo])
+        x = _units(values[first_byte[lo] : first_byte[hi]].view(number).astype(np.float64).reshape(hi - lo, label["dim"][lo]))
         link = x @ x.T >= cosine
         if label["i"][lo] != label["j"][lo]:
             own = label["own"][lo:hi]
@@ -230,7 +234,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     live = rows.where(sound)
     classes = live.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = checkpoint(classes)
-    found = checkpoint(_compared(checkpoint(_hashed(classes)), cosine))
+    # vectors travel to each of their buckets: as single numbers, if they came as these
+    number = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    found = checkpoint(_compared(checkpoint(_hashed(classes, number)), cosine, number))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected(found.where("other is not null").select("rep", "other"))
     of_class = (

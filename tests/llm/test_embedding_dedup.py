@@ -56,6 +56,14 @@ def test_empty_null_and_repeated_rows(spark):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_double_vectors(spark):
+    """Numbers that single precision would not tell apart, and ones beyond its range."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1), (2, [x * 1e200 for x in v], 1), (3, [1.0, 2.0, -3.0], 1), (4, [x + 1e-12 for x in v], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
 def test_recall_of_buckets():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 64))
