@@ -56,13 +56,13 @@ def fresh(name: str, taken: list[str]) -> str:
 HOT_SHARE = 1e-4
 
 
-def met_by_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` (``total`` of them) with ``groups``, one row of each key with its number of rows.
+def met_by_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row of each key with its number of rows.
 
     Rows of hot keys meet them by broadcast, at most 1 / HOT_SHARE rows of ``groups``, and stay where they are; others
     are shuffled by key. ``rows`` is read three times.
     """
-    hot = F.col(size) > F.lit(HOT_SHARE * (rows.count() if total is None else total))
+    hot = F.col(size) > F.lit(HOT_SHARE * rows.count())
     few = F.broadcast(groups.where(hot))
     rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
     return rows.join(few, key).unionByName(rest)
