@@ -24,25 +24,26 @@ def tokens(docs: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame, w: Windowing, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, chunk_ix, start_offset, end_offset, word_count, text_excerpt, normalized_text, content_hash).
 
-    Runs without a shuffle: lengths of tokens and of tokens with the gap before them are arrays of the document's
-    row; running totals are taken at window starts only, and a window sums its own slice.
+    Runs without a shuffle: lengths of tokens with the gap before them are an array of the document's row; running
+    totals are taken at window starts only, and a window sums its own slice. A text is normalised once, if each of its
+    words is a token, and a window takes its words from there; otherwise each window is normalised by itself.
     """
     rows = docs.where(f"{id_col} is not null and text is not null").select(
-        id_col,
-        "text",
-        F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)({T.TOKEN})"), F.lit(0)), F.length).alias("u"),
-        F.transform(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.length).alias("t"),
+        id_col, "text", F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)({T.TOKEN})"), F.lit(0)).alias("units")
     )
+    rows = rows.withColumn("u", F.transform("units", F.length))
     strides = f"transform(sequence(0, greatest(size(u) - 1, 0) div {w.step}), s -> aggregate(slice(u, s * {w.step} + 1, {w.step}), 0, (a, x) -> a + x))"
     rows = rows.withColumn("strides", F.expr(strides))
     window = f"""case when size(u) >= {w.least} then transform(sequence(0, (size(u) - {w.least}) div {w.step}), i -> struct(
       i as ix,
       aggregate(slice(strides, 1, i), 0, (a, x) -> a + x) as base,
-      u[i * {w.step}] - t[i * {w.step}] as gap,
+      u[i * {w.step}] - length(regexp_extract(units[i * {w.step}], '[{T.TOKEN_CLASS}]+$', 0)) as gap,
       aggregate(slice(u, i * {w.step} + 1, {w.size}), 0, (a, x) -> a + x) as span,
       least({w.size}, size(u) - i * {w.step}) as n)) end"""
+    upto = F.expr("substring(text, 1, aggregate(strides, 0, (a, x) -> a + x))")
+    rows = rows.withColumns({"windows": F.expr(window), "words": F.split(T.normalized(upto), " ")})
     # outer, as a filter on the size of the array would be pushed through all that makes it
-    each = rows.select(id_col, "text", F.explode_outer(F.expr(window)).alias("x")).where("x is not null")
+    each = rows.select(id_col, "text", "words", F.size("u").alias("tokens"), F.explode_outer("windows").alias("x")).where("x is not null")
     each = each.select(
         id_col,
         F.col("x.ix").alias("chunk_ix"),
@@ -50,11 +51,15 @@ def chunks(docs: DataFrame, w: Windowing, id_col: str = "doc_id") -> DataFrame:
         (F.col("x.base") + F.col("x.span")).alias("end_offset"),
         F.col("x.n").alias("word_count"),
         "text",
+        "words",
+        "tokens",
     )
     excerpt = F.expr("substring(text, start_offset + 1, end_offset - start_offset)")
-    each = each.withColumn("text_excerpt", excerpt).drop("text")
+    each = each.withColumn("text_excerpt", excerpt)
     # never empty, as each token leaves a word
-    each = each.withColumn("normalized_text", T.normalized(F.col("text_excerpt")))
+    own = F.array_join(F.slice("words", F.col("chunk_ix") * w.step + 1, F.col("word_count")), " ")
+    normalized = F.when(F.size("words") == F.col("tokens"), own).otherwise(T.normalized(F.col("text_excerpt")))
+    each = each.withColumn("normalized_text", normalized).drop("text", "words", "tokens")
     return each.withColumn("content_hash", F.sha2("normalized_text", 256))
 
 

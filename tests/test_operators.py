@@ -41,6 +41,16 @@ def test_windows(spark, n):
         assert r.text_excerpt.split() == [f"w{k}" for k in range(45 * r.chunk_ix, 45 * r.chunk_ix + r.word_count)]
 
 
+def test_windows_of_texts_with_other_words(spark):
+    """Words that are no tokens stand between tokens: windows keep them, wherever they are counted."""
+    other = ["garçon", "x²", "日本語", "foo_bar", "—", "naïve-"]
+    texts = [" ".join(f"{other[i % 6]}, w{i}" if i % every == 0 else f"Ñw{i}." for i in range(190)) + tail for every in (1, 7, 500) for tail in ("", " garçon")]
+    rows = chunks.chunks(frame(spark, texts), Windowing(85, 45, 30)).collect()
+    plain = spark.createDataFrame([(texts[r.doc_id][r.start_offset : r.end_offset],) for r in rows], "x string").select(T.normalized(F.col("x")))
+    assert [r.normalized_text for r in rows] == [r[0] for r in plain.collect()] and len({r.doc_id for r in rows}) == 6
+    assert all(r.text_excerpt == texts[r.doc_id][r.start_offset : r.end_offset] for r in rows)
+
+
 def test_normalized(spark):
     got = frame(spark, ["  Él ÑANDÚ, pingüino—99! ", "___"]).select(T.normalized(F.col("text")).alias("x")).collect()
     assert [r.x for r in got] == ["el nandu pinguino 99", ""]
@@ -225,3 +235,13 @@ def test_needs_bound_bonuses(spark):
     for r in similarity.with_bonus(pairs, INTERNAL).collect():
         k = len(shingles(r.q_text) & shingles(r.c_text))
         assert r.bonus <= max([0, *(p for p, need in zip(INTERNAL.bonus, (r.need0, r.need1, r.need2)) if k >= need)])
+
+
+def test_small_files_are_dealt_over_all_cores(spark, tmp_path):
+    from quillmark.sources.tables import dealt, table
+
+    folder = str(tmp_path / "a b{c}%20é")
+    spark.range(100).coalesce(1).write.parquet(f"{folder}/t.parquet")
+    rows = dealt(table(spark, folder.replace("{", "\\{").replace("}", "\\}"), "t"))
+    assert rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and rows.count() == 100
+    assert dealt(spark.range(5)).count() == 5
