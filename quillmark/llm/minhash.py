@@ -15,7 +15,7 @@ ids) are compared. Signatures are cut into bands; documents that share a band ar
 candidates, and every link is verified on the full multisets. Candidates are
 taken in two rounds, so that a group is never expanded into all its pairs: first
 each document is held against one document of its bands. In bands that still hold
-several components, signatures tell which components may be linked; documents of
+several components, a byte of each coordinate tells which may be linked; documents of
 such components come together once, and pairs of different components whose
 signatures agree often enough are verified there. Large bands and groups are dealt
 out in blocks, of which every two meet, and a task returns a spanning forest.
@@ -117,7 +117,10 @@ def signatures(n: int, text: np.ndarray, element: np.ndarray, weight: np.ndarray
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, signature): ``same`` is equal for texts of the same words, the signature null if there are none."""
+    """(doc_id, same, signature, brief): ``same`` is equal for texts of the same words, the signature null if there are none.
+
+    ``brief`` has one byte of each coordinate: coordinates that agree also agree in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +130,16 @@ def sign(docs: DataFrame) -> DataFrame:
                 text, element, count = shingles(part)
                 signed = signatures(len(part), text, element, count.astype(np.float64))
                 some = np.bincount(text, minlength=len(part)) > 0
-                packed = [s.tobytes() if x else None for s, x in zip(signed, some, strict=True)]
+                packed, brief = (
+                    pa.array([s.tobytes() if x else None for s, x in zip(rows, some, strict=True)], pa.binary())
+                    for rows in (signed, signed.astype(np.uint8))
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(same, pa.binary()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "same", "signature"],
+                    [batch.column(0).slice(a, b - a), pa.array(same, pa.binary()), packed, brief],
+                    names=["doc_id", "same", "signature", "brief"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, same binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, same binary, signature binary, brief binary")
 
 
 def _similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -178,7 +184,7 @@ class Group:
     def __init__(self, rows: pd.DataFrame):
         self.component, self.label = np.unique(rows["component"].to_numpy(), return_inverse=True)
         self.number = self.label.copy()
-        self.signature = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), K)
+        self.brief = np.frombuffer(b"".join(rows["brief"]), np.uint8).reshape(len(rows), K)
         across = rows["i"].iat[0] != rows["j"].iat[0]
         self.own = rows["own"].to_numpy() if across else np.arange(len(rows))
 
@@ -186,7 +192,7 @@ class Group:
         """(x, others): rows of other components and blocks, after row x, that agree with it in LEAST_AGREEING coordinates."""
         for x in range(len(self.label) - 1):
             rest = x + 1 + np.flatnonzero((self.label[x + 1 :] != self.label[x]) & (self.own[x + 1 :] != self.own[x]))
-            rest = rest[(self.signature[rest] == self.signature[x]).sum(axis=1) >= LEAST_AGREEING]
+            rest = rest[(self.brief[rest] == self.brief[x]).sum(axis=1) >= LEAST_AGREEING]
             if len(rest):
                 yield x, rest
 
@@ -200,7 +206,7 @@ class Group:
 def _maybe_linked(bands: DataFrame) -> DataFrame:
     """(a, b): components that may be linked; of each block of a band a spanning forest.
 
-    ``bands`` is (band, id, component, signature).
+    ``bands`` is (band, id, component, brief).
     """
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -216,7 +222,7 @@ def _maybe_linked(bands: DataFrame) -> DataFrame:
 def _linked(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b): verified links between components of a group; of each block a spanning forest.
 
-    ``rows`` is (part, id, component, signature, text).
+    ``rows`` is (part, id, component, brief, text).
     """
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = sizes.select("part", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
@@ -260,7 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = checkpoint(signed.groupBy("same").agg(F.min("doc_id").alias("rep")))
     member = signed.select("doc_id", "same").join(classes, "same").select("doc_id", F.col("rep").alias("class_id"))
     reps = signed.where("signature is not null").join(classes, "same").where("doc_id = rep")
-    reps = reps.select(F.col("rep").alias("id"), "signature").dropDuplicates(["id"])
+    reps = reps.select(F.col("rep").alias("id"), "signature", "brief").dropDuplicates(["id"])
     number = F.posexplode_outer(
         F.expr(
             f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(substring(signature, {4 * ROWS} * b + 1, {4 * ROWS}), b))"
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = checkpoint(verified(stars, texts, similarity))
     parts = connected(links)
     own = bands.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    own = checkpoint(own.join(reps, "id"))
+    own = checkpoint(own.join(reps.drop("signature"), "id"))
     near = connected(_maybe_linked(own))
     near = near.union(near.select("component", "component").distinct()).toDF("component", "part")
     together = own.drop("band").dropDuplicates(["id"]).join(near, "component").join(texts, "id")
