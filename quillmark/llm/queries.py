@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
+from quillmark.llm import alignment, bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
 from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.llm.runtime import table
 
@@ -17,7 +17,7 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-BYTE_BPE, WORD_BPE, TOKEN_LIMIT = "byte_bpe_50k.json", "word_bpe_49k.json", 2048
+BYTE_BPE, WORD_BPE, PIECE_BPE, TOKEN_LIMIT = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", 2048
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer(BYTE_BPE), tokenizer(PIECE_BPE)
+    found = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    counted = alignment.with_pair_counts(found.withColumn("groups_sha256", digest).drop("groups"), paths[1])
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -127,4 +135,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
