@@ -93,5 +93,32 @@ it as (
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join pos using (doc_id) left join it using (doc_id)
+""",
+    "op13_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) x from documents),
+w as (select lang, regexp_extract_all(x, '[^\x20\x09]+') w from p),
+total as (select lang, sum(len(w))::bigint n from w group by 1),
+f as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') phrase, m, count(*) f
+  from (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) i
+    from (select lang, w, unnest(generate_series(1, 5)) m from w) where len(w) >= m)
+  group by 1, 2, 3 having count(*) >= 100),
+c as (select lang, phrase, m, f a, string_split(phrase, ' ') w from f where m > 1),
+cut as (
+  select lang, phrase, m, a, k, array_to_string(w[:k], ' ') p1, array_to_string(w[k + 1:], ' ') p2
+  from (select *, unnest(generate_series(1, m - 1)) k from c)),
+s as (
+  select cut.lang, cut.phrase, cut.m, a, k, x.f l, y.f r, n, (1000::hugeint * a * n // (x.f::hugeint * y.f))::bigint score
+  from cut join f x on x.lang = cut.lang and x.phrase = p1 join f y on y.lang = cut.lang and y.phrase = p2 join total on total.lang = cut.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+  select lang, array_to_string(w[i:i + g - 1], ' ') phrase, a
+  from (select *, unnest(generate_series(1, m - g + 1)) i from (select *, unnest(generate_series(2, m - 1)) g from c where m > 2))),
+longer as (select lang, phrase, max(a) longer from inner_ group by 1, 2),
+kept as (select b.* from b left join longer using (lang, phrase) where longer is null or 100 * longer < 100 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, score
+from kept qualify "rank" <= 2000
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import alignment, bpe, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
+from quillmark.llm import alignment, bpe, collocations, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
 from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
 from quillmark.llm.runtime import table
 
@@ -124,6 +124,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -136,4 +140,5 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op13_collocations": op13_collocations,
 }
