@@ -93,6 +93,16 @@ it as (
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join pos using (doc_id) left join it using (doc_id)
+""",
+    "op12_warc": r"""
+with h as (select page_id, coalesce(html, '') p, sha1(coalesce(html, '')) x from pages),
+d as (
+  select page_id, strlen(p) payload_bytes, p, array_to_string(list_transform(generate_series(0, 31), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((strpos('0123456789abcdef', x[5 * i // 4 + 1]) - 1) * 16
+      + strpos('0123456789abcdef', x[5 * i // 4 + 2]) - 1) >> (3 - 5 * i % 4)) & 31)::int, 1)), '') payload_digest from h),
+m as (select *, max(page_id) over (partition by p) chosen from d)
+select page_id, payload_bytes, payload_digest, case when page_id = chosen then 'response' else 'revisit' end record_type,
+  case when page_id <> chosen then chosen end refers_to from m
 """,
     "op13_collocations": r"""
 with p as (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import alignment, bpe, collocations, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters
+from quillmark.llm import alignment, bpe, collocations, decontam, embedding_dedup, line_dedup, minhash, secrets, substring_dedup, token_counts, toxicity, url_filters, warc
 from quillmark.llm.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
-from quillmark.llm.runtime import table
+from quillmark.llm.runtime import shared_folder, table
 
 
 def tokenizer(name: str) -> str:
@@ -124,6 +126,19 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = warc.records(warc.read(spark, path, data=False))
+    return found.select(
+        F.col("row_id").cast("long").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
@@ -140,5 +155,6 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_warc": op12_warc,
     "op13_collocations": op13_collocations,
 }
