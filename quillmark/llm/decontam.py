@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.runtime import checkpoint, fresh
+from quillmark.llm.runtime import checkpoint, plainly_named
 
 SIZE = 10
 #: Windows that are broadcast at once: about 200 MB.
@@ -154,9 +154,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) ->
     Rows are judged by their text, of which a digest goes around: also rows without an id, or with a repeated one.
     """
     grams = checkpoint(benchmark_windows(benchmark, size))
-    digest = fresh("digest", docs.columns)
     key = F.sha2(F.col("text").cast("binary"), 256)
-    gone = checkpoint(hits(docs, grams, [key.alias(digest)], False).select(digest).distinct())
+    gone = checkpoint(hits(docs, grams, [key.alias("digest")], False).select("digest").distinct())
     if gone.count() <= MOST_TEXTS:
         gone = F.broadcast(gone)
-    return docs.withColumn(digest, key).join(gone, digest, "left_anti").select(*docs.columns)
+    rows = plainly_named(docs, ("text",)).withColumn("digest", key)
+    return rows.join(gone, "digest", "left_anti").drop("digest").toDF(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.bytekernel import FOLDED_WORDS, mix, window_hashes, words
 from quillmark.llm.components import connected
-from quillmark.llm.runtime import checkpoint, slices
+from quillmark.llm.runtime import checkpoint, plainly_named, slices, stored
 
 WORDS_A_SHINGLE, SIMILARITY = 5, 0.8
 #: Coordinates, and those of a band. Two documents at 0.8 share none of 25 bands of 5 once in 20,000 cases.
@@ -53,6 +53,8 @@ LEAST_AGREEING = math.floor(K * SIMILARITY - 4 * math.sqrt(K * SIMILARITY * (1 -
 #: Documents of a band that one task compares with each other, and bytes of their texts, about.
 BLOCK = 512
 BLOCK_BYTES = 2 << 20
+#: Repeated ids that are broadcast at most.
+MOST_SHARED = 1_000_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
 
@@ -297,3 +299,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")
     )
     return done.union(apart).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, but for one of each group of near duplicates: that of the smallest id.
+
+    Each row is judged by its own text. Rows whose id is null or repeated are written once, each with a number that no
+    other row has, and stay only if their group has no row with an id of its own. Rows without a text stay.
+    """
+    rows = plainly_named(docs, ("text", "doc_id")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    shared = checkpoint(ids.where("doc_id is null or n > 1").select("doc_id"))
+    numbered = rows.withColumn("key", F.col("doc_id"))
+    n = shared.count()
+    if n:
+        top = ids.agg(F.max("doc_id")).first()[0]
+        room = top is None or top < 1 << 62
+        if n <= MOST_SHARED:
+            shared = F.broadcast(shared)
+        same = rows["doc_id"].eqNullSafe(shared["doc_id"])
+        # where there is no room above the ids, every row gets a number
+        again = rows.join(shared, same, "left_semi") if room else rows
+        again = stored(again.withColumn("key", F.monotonically_increasing_id() + F.lit((top or 0) + 1 if room else 0)))
+        numbered = rows.join(shared, same, "left_anti").withColumn("key", F.col("doc_id")).unionByName(again) if room else again
+    gone = near_duplicates(numbered.select(F.col("key").alias("doc_id"), "text"), similarity)
+    gone = gone.where("not kept").select(F.col("doc_id").alias("gone"))
+    kept = numbered.join(gone, F.col("key") == F.col("gone"), "left_anti").drop("key")
+    kind = docs.schema["doc_id"].dataType
+    return kept.withColumn("doc_id", F.col("doc_id").cast(kind)).toDF(*docs.columns)

@@ -44,12 +44,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """A column name that is not among ``taken``, whose case does not count."""
-    used, out = {c.lower() for c in taken}, f"__{name}"
-    while out in used:
-        out += "_"
-    return out
+def plainly_named(df: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """``df`` with other columns than ``own`` named by their place, so that no name of the caller's clashes or needs quoting.
+
+    ``toDF`` gives the names back, whatever they are.
+    """
+    return df.toDF(*[c if c in own else f"c{i}" for i, c in enumerate(df.columns)])
 
 
 #: A key with more than this share of all rows is hot; there can be no more than its inverse of them.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.bytekernel import FOLDED_WORDS, SPACE, mix, words
-from quillmark.llm.runtime import checkpoint, slices
+from quillmark.llm.runtime import checkpoint, plainly_named, slices
 
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 4000
@@ -443,4 +443,5 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(place), shared.value) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = plainly_named(docs, ("text",))
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -44,16 +44,17 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     rules = intervals(entries)
     if rules.count() <= MOST_INTERVALS:
         rules = F.broadcast(rules)
-    others = [c for c in captures.columns if c not in ("host", "blocked", "entry")]
-    rows = captures.withColumn("__host", host(F.col(url)))
-    asked = rows.select("__host", F.col(fetched).alias("__at")).where("__at is not null and __host <> ''").distinct()
-    labels = F.split("__host", r"\.", -1)
+    names = [c for c in captures.columns if c not in ("host", "blocked", "entry")]
+    columns = [f"c{i}" for i, c in enumerate(captures.columns) if c in names]
+    rows = captures.toDF(*[f"c{i}" for i in range(len(captures.columns))])
+    at = f"c{captures.columns.index(fetched)}"
+    rows = rows.withColumn("host", host(F.col(f"c{captures.columns.index(url)}")))
+    asked = rows.select("host", F.col(at).alias("at")).where("at is not null and host <> ''").distinct()
+    labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = asked.select("__host", "__at", F.explode(suffixes).alias("domain"))
-    met = each.join(rules, "domain").where("__at >= since and (until is null or __at < until)")
-    best = met.groupBy("__host", "__at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain")).alias("best"))
-    best = best.select("__host", F.col("__at").alias("__then"), F.col("best.domain").alias("__entry"))
-    out = rows.join(best.withColumnRenamed("__host", "__h"), (F.col("__host") == F.col("__h")) & (F.col(fetched) == F.col("__then")), "left")
-    return out.select(
-        *others, F.col("__host").alias("host"), F.col("__entry").isNotNull().alias("blocked"), F.col("__entry").alias("entry")
-    )
+    each = asked.select("host", "at", F.explode(suffixes).alias("domain"))
+    met = each.join(rules, "domain").where("at >= since and (until is null or at < until)")
+    best = met.groupBy("host", "at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain")).alias("best"))
+    best = best.select(F.col("host").alias("of_host"), F.col("at").alias("of_at"), F.col("best.domain").alias("entry"))
+    out = rows.join(best, (F.col("host") == F.col("of_host")) & (F.col(at) == F.col("of_at")), "left")
+    return out.select(*columns, "host", F.col("entry").isNotNull().alias("blocked"), "entry").toDF(*names, "host", "blocked", "entry")
