@@ -3,7 +3,8 @@
 Toxic documents go; multi-line chunks that occur earlier go; of each group of near
 duplicates the one of the smallest id stays; documents with a passage of a benchmark
 item go; what is left is encoded, and decoded again. Every stage works on all that
-its predecessor kept. The order in which a group's documents are taken and the
+its predecessor kept. Each row is judged by itself: ids may be null or repeat, and other
+columns, whatever their names, are handed on up to the last stage. The order in which a group's documents are taken and the
 network of the first stage can't be put in SQL, so there is none; the tests hold the
 stages against plain Python.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, decontam, line_dedup, minhash, toxicity
 from quillmark.llm.queries import BYTE_BPE, held_out, tokenizer
-from quillmark.llm.runtime import checkpoint, table
+from quillmark.llm.runtime import checkpoint, plainly_named, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the chunks that occur earlier; n_chars follows the text."""
-    kept = line_dedup.drop_repeats(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    kept = line_dedup.drop_repeats(plainly_named(docs, ("doc_id", "text", "n_chars"))).drop("n_lines", "n_removed")
+    if "n_chars" in kept.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
+    return kept.toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, also where ids are null or repeated."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
