@@ -7,7 +7,7 @@ one of B are *linked* if their bytes overlap; as at each labelled byte one of th
 each labelled byte.
 
 A space after a character that is no white space begins a token in both. Texts are cut there into units; each worker
-aligns the units that it has not met, up to ``UNITS`` of them, in one label string. Whole texts are made of their units,
+aligns the units that it has not met in one label string, and remembers up to ``UNITS``. Whole texts are made of their units,
 in parts of ``PART`` characters.
 
 Counts of linked pairs are summed over the corpus. Pairs with more than 1 / MOST_PAIRS of all links, and so fewer than
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.bpe import Encoder, ragged
+from quillmark.llm.bpe import PRE_TOKEN, ragged
+from quillmark.llm.bpe_model import MergeModel
 from quillmark.llm.runtime import stored
 
 #: Units that a worker remembers before it begins anew.
@@ -51,14 +53,6 @@ GROUP = re.compile(rb"[nab]*x")
 SEPARATORS = ",|;"
 
 
-class PlainEncoder(Encoder):
-    """An encoder for which the strings of special tokens are plain text."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.special, self.model.specials = None, {}
-
-
 class _Units(dict):
     """Index of each unit; a new one is queued. Index 0 tells that a piece between two spaces need not be a unit."""
 
@@ -87,13 +81,13 @@ class Aligner:
     """Units of texts with their tokens, groups and links."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = PlainEncoder(path_a)
+        self.a = MergeModel(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
             raise ValueError("the pieces of B must not reach over the start of a word or a line")
         self.space = self.b.piece_to_id("▁")
-        self.bytes_a = _text_bytes(self.a.model.bytes)
+        self.bytes_a = _text_bytes(self.a.bytes)
         self.bytes_b = _text_bytes([_piece_bytes(p, self.b.is_byte(i)) for i, p in enumerate(pieces)])
         self.size_b = len(pieces)
         most = max(len(self.bytes_a[1]), self.size_b)
@@ -110,6 +104,7 @@ class Aligner:
         self.sums = np.zeros((1, 5), np.int64)
         self.sums[0, 4] = 1
         self.start = np.zeros(1, np.int64)
+        self.used = np.zeros(1, np.int64)
         self.pairs = np.empty(0, np.int64)
 
     def queue(self, piece: str) -> int:
@@ -122,8 +117,20 @@ class Aligner:
         found = list(map(self.between.__getitem__, part.split(" ")))
         return list(map(self.any.__getitem__, UNIT_START.split(part))) if 0 in found else found
 
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
-        """Tokens of B of a space and each unit."""
+    def _encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A of a space and each unit, joined, and how many each unit has."""
+        index: dict[str, int] = {}
+        words, size = [], []
+        for unit in units:
+            found = [" " + unit] if unit.isalpha() else PRE_TOKEN.findall(" " + unit)
+            size.append(len(found))
+            words += [index.setdefault(w, len(index)) for w in found]
+        count, token, _ = self.a.encode_words([w.encode() for w in index])
+        word, first = np.array(words), np.cumsum(size) - size
+        return ragged((np.cumsum(count) - count)[word], count[word], token), np.add.reduceat(count[word], first)
+
+    def _encode_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of B of a space and each unit, joined, and how many each unit has."""
         out = self.b.encode([u if len(u) <= LONG_UNIT else "" for u in units], num_threads=1)
         for i, unit in enumerate(units):
             if not unit:
@@ -134,42 +141,61 @@ class Aligner:
                 out[i] = self.b.encode(lines[0]) if lines[0] else [self.space]
                 for line in lines[1:]:
                     out[i] += self.b.encode(line)[1:]
-        return out
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int64, int(n.sum())), n
 
     def learn(self) -> None:
         """Align the queued units: label every byte, scan the labels, keep groups and links by unit."""
         if not self.waiting:
             return
         units, self.waiting = self.waiting, []
-        ids_a, ids_b = self.a.encode([" " + u for u in units]), self._encode_b(units)
+        (flat_a, n_a), (flat_b, n_b) = self._encode_a(units), self._encode_b(units)
         text = [b" " + u.encode() for u in units]
-        same = np.array([self._gives_back(x, a, b) for x, a, b in zip(text, ids_a, ids_b, strict=True)])
+        size = np.fromiter(map(len, text), np.int64, len(text))
+        same = np.ones(len(units), bool)
+        for flat, n, known in ((flat_a, n_a, self.bytes_a), (flat_b, n_b, self.bytes_b)):
+            same &= _gives_back(text, size, flat, n, known)
         sums = np.zeros((len(units), 5), np.int64)
         sums[:, 4] = same
         groups, pairs = [b""] * len(units), []
-        good = np.flatnonzero(same)
-        if len(good):
-            found = self._aligned([text[i] for i in good], [ids_a[i] for i in good], [ids_b[i] for i in good])
-            sums[good, :4], strings, pairs = found
-            for i, s in zip(good.tolist(), strings, strict=True):
-                groups[i] = s
+        if same.any():
+            flat_a, flat_b = flat_a[np.repeat(same, n_a)], flat_b[np.repeat(same, n_b)]
+            sums[same, :4], strings, pairs = self._aligned(size[same], flat_a, flat_b)
+            groups = strings if same.all() else groups
+            if not same.all():
+                for i, s in zip(np.flatnonzero(same).tolist(), strings, strict=True):
+                    groups[i] = s
         self.start = np.concatenate([self.start, len(self.pairs) + np.cumsum(sums[:, 3]) - sums[:, 3]])
         self.pairs = np.concatenate([self.pairs, np.asarray(pairs, np.int64)])
         self.sums = np.concatenate([self.sums, sums])
+        self.used = np.append(self.used, np.zeros(len(units), np.int64))
         self.groups += groups
 
-    def _gives_back(self, text: bytes, ids_a, ids_b) -> bool:
-        for ids, (start, size, flat) in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
-            ids = np.asarray(ids, np.int64)
-            if size[ids].sum() != len(text) or ragged(start[ids], size[ids], flat).tobytes() != text:
-                return False
-        return True
-
-    def _aligned(self, text: list[bytes], ids_a, ids_b):
-        """Sums, group strings and linked pairs of units that both tokenizers give back."""
-        flat_a = np.concatenate(ids_a).astype(np.int64)
-        flat_b = np.concatenate([np.asarray(x, np.int64) for x in ids_b])
-        unit_end = np.cumsum([len(x) for x in text])
+    def trim(self, used: np.ndarray) -> None:
+        """Note the units that a batch has used, and if there are too many, keep those that two batches have."""
+        self.used += np.bincount(used, minlength=len(self.used)) > 0
+        if self.known <= UNITS:
+            return
+        kept = self.used >= 2
+        kept[0] = True
+        if kept.sum() > UNITS // 2:
+            self.forget()
+            return
+        new = np.cumsum(kept) - 1
+        for known in (self.between, self.any):
+            old = list(known.items())
+            known.clear()
+            known.update((u, int(new[i])) for u, i in old if kept[i])
+        self.pairs = ragged(self.start[kept], self.sums[kept, 3], self.pairs)
+        self.sums = self.sums[kept]
+        self.start = np.cumsum(self.sums[:, 3]) - self.sums[:, 3]
+        self.groups = [self.groups[i] for i in np.flatnonzero(kept).tolist()]
+        self.used = np.zeros(len(self.sums), np.int64)
+        self.known = len(self.sums)
+
+    def _aligned(self, size: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray):
+        """Sums, group strings and linked pairs of units of ``size`` bytes, from their joined tokens."""
+        unit_end = np.cumsum(size)
         mark = np.zeros(unit_end[-1], np.uint8)
         mark[np.cumsum(self.bytes_a[1][flat_a]) - 1] |= 1
         mark[np.cumsum(self.bytes_b[1][flat_b]) - 1] |= 2
@@ -198,6 +224,20 @@ class Aligner:
         return np.diff(sums, axis=0, prepend=0), strings, token_a * self.size_b + token_b
 
 
+def _gives_back(text: list[bytes], size: np.ndarray, flat: np.ndarray, n: np.ndarray, known) -> np.ndarray:
+    """Whether the tokens of each text, of ``n`` of the joined ``flat``, have just the text's bytes."""
+    start, length, data = known
+    found = np.add.reduceat(length[flat], np.cumsum(n) - n)
+    same = (found == size) & (n > 0)
+    if not same.any():
+        return same
+    kept = flat[np.repeat(same, n)]
+    read = np.frombuffer(b"".join(text if same.all() else [t for t, s in zip(text, same.tolist()) if s]), np.uint8)
+    wrong = np.flatnonzero(ragged(start[kept], length[kept], data) != read)
+    same[np.flatnonzero(same)[np.searchsorted(np.cumsum(size[same]), wrong, "right")]] = False
+    return same
+
+
 @lru_cache(2)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
@@ -260,6 +300,7 @@ def _align_parts(a: Aligner, parts: list[str]) -> Iterator[tuple]:
     # each unit of a part once, then its links
     key, times = np.unique((np.repeat(np.arange(len(units)), n) << 32) | flat, return_counts=True)
     part, unit = key >> 32, key & 0xFFFFFFFF
+    used = unit
     links = a.sums[unit, 3]
     pairs = ragged(a.start[unit], links, a.pairs)
     part, times = np.repeat(part, links), np.repeat(times, links)
@@ -272,8 +313,7 @@ def _align_parts(a: Aligner, parts: list[str]) -> Iterator[tuple]:
     for i, found in enumerate(units):
         groups = b"".join(map(a.groups.__getitem__, found))
         yield sums[i], groups, pairs[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]
-    if a.known > UNITS:
-        a.forget()
+    a.trim(used)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

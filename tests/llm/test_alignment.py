@@ -30,7 +30,7 @@ def walked(libraries, text):
     if not text:
         return none
     ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
-    size_a = [len(x) for x in map(alignment.aligner(*PATHS).a.model.bytes.__getitem__, ids_a)]
+    size_a = [len(x) for x in map(alignment.aligner(*PATHS).a.bytes.__getitem__, ids_a)]
     bytes_b = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
     if b"".join(bytes_b) != (" " + text).encode():
         return none
