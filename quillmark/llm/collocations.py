@@ -43,6 +43,8 @@ BYTES_A_COUNTER = 64
 PAGE = 1 << 16
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of text that one task counts, if the cluster has not twice as many cores: a task hands on each phrase once.
+TASK_BYTES = 512 << 20
 #: Phrases that a task holds with their counts before it hands them on.
 HELD = 300_000
 
@@ -146,9 +148,11 @@ def _pages(rows: DataFrame, bits: int, least: int, longest: int) -> DataFrame:
     return parts.repartition("page").sortWithinPartitions("page").mapInArrow(merge, "page int, bits binary")
 
 
-def frequent_bits(rows: DataFrame, least: int, longest: int) -> tuple[int, np.ndarray]:
-    """Index bits of the merged sketch, and for each counter of its two rows whether it reaches ``least``: at most 2 * 2^MOST_BITS bits."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def frequent_bits(rows: DataFrame, least: int, longest: int, total: int) -> tuple[int, np.ndarray]:
+    """Index bits of the merged sketch, and for each counter of its two rows whether it reaches ``least``: at most 2 * 2^MOST_BITS bits.
+
+    ``total`` is the number of bytes of all texts, about.
+    """
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total / BYTES_A_COUNTER)))))
     out = np.zeros((2, (1 << bits) // 8), np.uint8)
     flat, size = out.reshape(-1), min(PAGE, 1 << bits) // 8
@@ -206,7 +210,10 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
         raise ValueError("counters hold up to 255")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(lang).alias("seed"), lang.alias("lang"))
-    bits, frequent = frequent_bits(rows, least, longest)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # fewer tasks than files: sketches and counts are made by task, and more of them would be merged
+    rows = rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    bits, frequent = frequent_bits(rows, least, longest, total)
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def passes(seen: np.ndarray, key: np.ndarray) -> np.ndarray:

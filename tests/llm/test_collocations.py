@@ -86,7 +86,7 @@ def test_sketch_keeps_rare_runs_out(spark):
     rng = random.Random(1)
     rows = [(" ".join(f"w{rng.randrange(10**9)}" for _ in range(200)), "en") for _ in range(300)] + [("as well as", "en")] * 100
     docs = frame(spark, rows).selectExpr("text", "xxhash64(lang) as seed", "lang")
-    bits, seen = collocations.frequent_bits(docs, 100, 5)
+    bits, seen = collocations.frequent_bits(docs, 100, 5, 700_000)
     assert seen.shape == (2, (1 << bits) // 8) and int(np.unpackbits(seen).sum()) <= 2 * 6 + 4
     got = collocations.mine(frame(spark, rows)).collect()
     assert [(r.phrase, r.a) for r in got] == [("as well as", 100)]
