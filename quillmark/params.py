@@ -32,7 +32,7 @@ INTERNAL = Scoring(70, 30, 16, (18, 12, 8))
 WEB = Scoring(78, 22, 18, (20, 14, 9))
 PHRASE_SIZES, PHRASE_STEP, PHRASE_LEAST_WORDS = (18, 14, 10), 5, 12
 SHINGLE_WORDS, MATCHES, STYLE_FINDINGS, BANK_NEWEST, EXCERPT = 4, 35, 20, 5000, 900
-LEAST_PAGE, LEAST_TEXT = 500, 100
+LEAST_PAGE, LEAST_TEXT, MOST_PAGES = 500, 100, 16
 RISK = ((50, 80, "CRITICAL"), (30, 60, "HIGH"), (15, 35, "MEDIUM"))
 
 # Word lists.

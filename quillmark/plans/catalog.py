@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import access, chunks, intervals, reports, sections, similarity, style, webqueries
+from quillmark.operators import access, chunks, intervals, reports, search, sections, similarity, style, webqueries
 from quillmark.params import BANK, BANK_NEWEST, EXCERPT, INTERNAL, INTERNAL_QUERY, WEB, WEB_QUERY
-from quillmark.plans.oracle import ORACLE_SQL  # noqa: F401  registered beside the queries
+from quillmark.plans.oracle import ORACLE_SQL, planted
 from quillmark.sources import files, pages
 from quillmark.sources.tables import dealt, table
 
@@ -161,13 +161,63 @@ def page_blocked(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.blocked(url).alias("blocked"))
 
 
+#: Markup that is put into pages, and the text that it shows: nesting, raw content, notes, entities, unclosed elements.
+PLANTED = (
+    ("<nav>one<nav>two</nav>three</nav><p>after the menu", "after the menu"),
+    ('<script>if (a < b) write("</p><nav>")</script><a title="x > y" href=/z/>a link</a>', "a link"),
+    ("<div><header>head of a part</div>investigaci&oacute;n &#233;tica &ndash; &#x201C;si&#X201d;", "investigación ética – “si”"),
+    ("<!-- > <nav> -->1 < 2 &amp;amp; &hellip; &bogus; <svg><g>no</svg><NOSCRIPT><p>no</NoScript >", "1 < 2 &amp; … &bogus;"),
+    ("<textarea><b>&lt;</textarea><iframe><p>no</iframe>wo</nothing>rd<template>no</template>", "<b>< word"),
+)
+
+
+ORACLE_SQL["page_text_planted"] = planted(PLANTED)
+
+
+@query
+def page_text_planted(spark, sf_dir):
+    """Pages with markup put in before each article's end, another kind of it by page, and a script without an end after the page."""
+    rows = html(spark, sf_dir)
+    kinds = F.array(*[F.lit(m) for m, _ in PLANTED])
+    planted = F.concat(F.element_at(kinds, (F.col("page_id") % len(PLANTED) + 1).cast("int")), F.lit("</article>"))
+    page = F.concat(F.replace("html", F.lit("</article>"), planted), F.lit("<p>end<script>never <b>closed"))
+    return pages.indexed_texts(rows.withColumn("html", page)).select("page_id", "text")
+
+
+def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The queries made of each document, and the results of all distinct queries over the pages."""
+    asked = webqueries.queries(webqueries.phrases(paged(spark, sf_dir)))
+    asked = asked.select("doc_id", F.posexplode_outer("queries").alias("query_ix", "query")).where("query is not null")
+    return asked, search.answered(asked, pages.indexed_texts(html(spark, sf_dir)))
+
+
+@query
+def search_results(spark, sf_dir):
+    """The first results of every query, over all pages."""
+    return _answers(spark, sf_dir)[1].select("query", "rank", "page_id", "score")
+
+
+def _collected(spark, sf_dir) -> DataFrame:
+    return search.collected(*_answers(spark, sf_dir), pages.page_texts(html(spark, sf_dir)))
+
+
 @query
 def web_candidates(spark, sf_dir):
-    """Search results made of the pages: twenty documents, seven queries, addresses without their queries."""
-    results = table(spark, sf_dir, "pages").selectExpr(
-        "page_id % 20 as doc_id", "page_id % 7 as query_ix", "page_id as rank", "regexp_extract(url, '^[^/]*//[^/]*/[^/]*', 0) as url"
-    )
-    return pages.candidates(results)
+    """The pages that each document's queries find, as far as they are read."""
+    return _collected(spark, sf_dir).select("doc_id", "query_ix", "rank", "page_id", "url")
+
+
+@query
+def searched_percent(spark, sf_dir):
+    """Similarity of each document with the pages that its own queries find."""
+    found = _collected(spark, sf_dir).select("page_id", F.col("doc_id").alias("within"), (F.col("query_ix") * 100 + F.col("rank")).alias("place"))
+    web = pages.page_texts(html(spark, sf_dir)).select("page_id", T.normalized(F.col("text")).alias("normalized_text")).join(found, "page_id")
+    asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text", F.col("doc_id").alias("within"))
+    scores = similarity.class_scores(similarity.classes(asked, "q"), similarity.classes(web, "c"), WEB, True)
+    pairs = similarity.every_pair(scores, asked, web.select("normalized_text", "within", "place"))
+    best = similarity.best_of_chunk(pairs, ["doc_id", "chunk_ix"], [F.col("place")])
+    percent = similarity.matched_percent(docs(spark, sf_dir), similarity.top_matches(best))
+    return percent.select("doc_id", T.percent(F.col("hundredths")).alias("web_percent"))
 
 
 def _web(spark, sf_dir, best_only: bool, texts: DataFrame | None = None) -> DataFrame:

@@ -289,6 +289,31 @@ gaps as (
   union all select documents.doc_id, coalesce(max(kept.b), 0), any_value(length(text)) from documents left join kept using (doc_id) group by 1),
 seg as (select doc_id, a, b, finding_type from kept union all select doc_id, a, b, null from gaps where a < b)"""
 
+#: All pages with their words; the parts that each query asks for, its bounds, and the pages that hold all parts.
+SEARCHED = rf"""{QUERY_LISTS},
+sa as (select doc_id, unnest(queries) query, generate_subscripts(queries, 1) - 1 query_ix from hi),
+sp as (select query, string_split(trim(substr({squeeze('query')}, 1, 380)), '"') p from (select distinct query from sa)),
+sb as (select query, list_filter(p, lambda x, i: i % 2 = 0) quoted, array_to_string(list_filter(p, lambda x, i: i % 2 = 1), ' ') plain from sp),
+sc as (select query, lower(regexp_extract(plain, '(?:^| )site:(\S+)', 1)) site, lower(regexp_extract(plain, '(?:^| )filetype:(\S+)', 1)) kind,
+  list_sort(list_distinct(list_filter(list_concat(list_transform(quoted, lambda x: {normalized('x')}),
+    string_split({normalized("regexp_replace(plain, '(?:^| )(?:site|filetype):\S+', ' ', 'g')")}, ' ')), lambda x: x <> ''))) parts from sb),
+sd as (select distinct parts from sc where len(parts) > 0),
+se as (select parts, unnest(list_distinct(string_split(array_to_string(parts, ' '), ' '))) w from sd),
+sg as (select page_id, url, {DOMAIN} domain, lower(string_split(url, '?')[1]) path, {normalized(visible('html'))} t from pages),
+sh as (select page_id, w, count(*) n from (select page_id, unnest(string_split(t, ' ')) w from sg) group by 1, 2),
+si as (select parts, page_id, sum(n)::bigint score from se join sh using (w) group by 1, 2
+  having count(*) = len(list_distinct(string_split(array_to_string(parts, ' '), ' ')))),
+sj as (select si.*, url, domain, path from si join sg using (page_id)
+  where len(list_filter(parts, lambda x: not contains(' ' || t || ' ', ' ' || x || ' '))) = 0),
+sr as (select query, page_id, url, score, row_number() over (partition by query order by score desc, page_id) as rank
+  from sc join sj using (parts) where (site = '' or domain = site or ends_with(domain, '.' || site)) and (kind = '' or ends_with(path, '.' || kind))
+  qualify rank <= 5)"""
+#: The pages that are read for each document.
+COLLECTED = f"""{SEARCHED}, {PAGES},
+sk as (select doc_id, query_ix, rank, page_id, url from sa join sr using (query) where {DOMAIN} <> ''
+  qualify row_number() over (partition by doc_id, url order by query_ix, rank) = 1),
+sl as (select sk.* from sk semi join pp using (page_id) qualify row_number() over (partition by doc_id order by query_ix, rank) <= 16)"""
+
 #: An analysis: the texts asked about are filtered ones (``ac``), the bank's are whole.
 ASKED = "documents as (select * from ac)"
 ASKED_QUERY = f"qi as (with {ASKED}, {TOKENS}, {fragments('qi', INTERNAL_QUERY)} select * from qi)"
@@ -309,7 +334,26 @@ FRAGMENT = "select doc_id, chunk_ix, start_offset, end_offset, word_count, sha25
 OWNED = """d as (select o_orderkey doc_id, o_custkey owner_id, c_nationkey institution_id, o_orderdate created_at
   from orders join customer on c_custkey = o_custkey)"""
 
+
+def planted(markup: tuple[tuple[str, str], ...]) -> str:
+    """SQL for the text of pages with a word put in, for which the text that the markup shows then stands."""
+    shown = strings(t.replace("'", "''") for _, t in markup)
+    page = visible("replace(html, '</article>', ' zzplanted </article>') || '<p>end'")
+    return f"select page_id, replace({page}, 'zzplanted', {shown}[page_id % {len(markup)} + 1]) as text from pages"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "search_results": with_(SEARCHED, "select query, rank, page_id, score from sr"),
+    "web_candidates": with_(COLLECTED, "select doc_id, query_ix, rank, page_id, url from sl"),
+    "searched_percent": with_(
+        f"""wd as (with {COLLECTED} select doc_id, page_id, query_ix * 100 + rank as place from sl),
+{TOKENS}, {fragments('qi', WEB_QUERY)}, {PAGES}, {shingled('qs', 'qi', 'doc_id, chunk_ix', 'c')}, {shingled('bs', 'pp', 'page_id', 'p')},
+pr as (select qs.doc_id, chunk_ix, bs.page_id, place, c, p, count(*) k from qs join wd on wd.doc_id = qs.doc_id
+  join bs on bs.page_id = wd.page_id and bs.sh = qs.sh group by all),
+pt as (select pr.*, qi.start_offset, qi.end_offset, qi.t qt, pp.t ct from pr join qi using (doc_id, chunk_ix) join pp using (page_id)),
+{scored('pt', WEB)}, {best('place')}, {matched('tp')}""",
+        f"select doc_id, {percent('h')} web_percent from mp",
+    ),
     "tokens_offsets": with_(TOKENS, "select doc_id, k ix, token, s start_offset, e end_offset from tk"),
     "normalized_text": f"select doc_id, {normalized('text')} normalized from documents",
     "bank_chunks": with_(f"{TOKENS}, {fragments('f', BANK)}", f"{FRAGMENT} f"),
@@ -336,11 +380,6 @@ ORACLE_SQL: dict[str, str] = {
     "page_text": with_(PAGES, "select page_id, title, pt as text from pp"),
     "page_domain": f"select page_id, {DOMAIN} as domain from pages",
     "page_blocked": f"select page_id, {BLOCKED.format(url='url || e')} blocked from (select *, ['', '.PDF', '.Jpg?x=1'][(page_id % 3 + 1)::int] e from pages)",
-    "web_candidates": f"""
-with r as (select page_id % 20 doc_id, page_id % 7 query_ix, page_id rank, regexp_extract(url, '^[^/]*//[^/]*/[^/]*', 0) url from pages),
-f as (select * from r where url <> '' and {DOMAIN} <> '' qualify row_number() over (partition by doc_id, url order by query_ix, rank) = 1)
-select * from f qualify row_number() over (partition by doc_id order by query_ix, rank) <= 16
-""",
     "web_pairs": with_(WEB_PAIRS, f"select doc_id, chunk_ix, page_id, k, z bonus, {percent('h')} matched_percent from sc"),
     "web_best": with_(WEB_BEST, f"select doc_id, chunk_ix, page_id, {percent('h')} matched_percent from be"),
     "web_excerpt": with_(

@@ -1,41 +1,12 @@
-"""Web pages as a source: visible text, domains, blocked addresses, candidates of a search."""
+"""Web pages as a source: their texts, domains, blocked addresses, candidates of a search."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import squeeze
-from quillmark.params import BLOCKED_SUFFIXES, LEAST_PAGE
-
-#: Elements whose content is not part of the visible text.
-HIDDEN = "script|style|noscript|svg|iframe|nav|footer|header"
-#: Bytes of a page that are read, a multiple of the blocks in which the reading stops.
-MOST_BYTES = 10 * 1024 * 1024
-# The named entities that are decoded, the ampersand last.
-ENTITIES = (("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-
-
-def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def bounded(html: Column) -> Column:
-    """The first MOST_BYTES of a page as text; a character that is cut becomes a replacement sign."""
-    head = F.decode(F.substring(html.cast("binary"), 1, MOST_BYTES), "UTF-8")
-    return F.when(F.octet_length(html) > MOST_BYTES, head).otherwise(html)
-
-
-def visible_text(html: Column) -> Column:
-    html = F.regexp_replace(bounded(F.coalesce(html, F.lit(""))), r"(?s)<!--.*?-->", " ")
-    html = F.regexp_replace(html, rf"(?is)<({HIDDEN})\b[^>]*>.*?</\1\s*>", " ")
-    return squeeze(decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
-
-
-def title(html: Column) -> Column:
-    return squeeze(decode_entities(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+from quillmark.params import BLOCKED_SUFFIXES, LEAST_PAGE, MOST_PAGES
+from quillmark.sources.html import parsed
 
 
 def domain(url: Column) -> Column:
@@ -49,20 +20,26 @@ def blocked(url: Column) -> Column:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, domain, title, text) of pages that are not blocked and have enough visible text."""
-    # from an array of one, as a filter on the text itself would be pushed down to the scan and make the text twice
-    text = F.explode_outer(F.array(visible_text(F.col("html"))))
-    rows = pages.where(~blocked(F.col("url"))).select(
-        "page_id", "url", domain(F.col("url")).alias("domain"), title(F.col("html")).alias("found"), text.alias("text")
-    )
-    rows = rows.where(F.length("text") >= LEAST_PAGE)
-    shown = F.coalesce(F.nullif("found", F.lit("")), F.nullif("domain", F.lit("")), F.col("url"))
-    return rows.select("page_id", "url", "domain", F.substring(shown, 1, 300).alias("title"), "text")
+    return indexed_texts(pages.where(~blocked(F.col("url")))).where(F.length("text") >= LEAST_PAGE)
+
+
+def indexed_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, domain, title, text) of all pages."""
+    # from an array of one, as a filter on the text itself would be pushed down to the scan and parse the page twice
+    rows = pages.select("page_id", "url", domain(F.col("url")).alias("domain"), F.explode_outer(F.array(parsed("html"))).alias("x"))
+    shown = F.coalesce(F.nullif("x.title", F.lit("")), F.nullif("domain", F.lit("")), F.col("url"))
+    return rows.select("page_id", "url", "domain", F.substring(shown, 1, 300).alias("title"), "x.text")
+
 
+def candidates(results: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """The first ``most`` distinct URLs of each document's search results, by (query_ix, rank).
 
-def candidates(results: DataFrame, most: int = 16) -> DataFrame:
-    """The first ``most`` distinct URLs of each document's search results, by (query_ix, rank)."""
+    If the results have a column ``readable``, it tells which pages can be read; others use up their URL only.
+    """
     rows = results.where("coalesce(url, '') <> ''").where(domain(F.col("url")) != "")
     first = Window.partitionBy("doc_id", "url").orderBy("query_ix", "rank")
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
+    if "readable" in rows.columns:
+        rows = rows.where("readable").drop("readable")
     place = Window.partitionBy("doc_id").orderBy("query_ix", "rank")
     return rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).drop("n")
