@@ -1,7 +1,8 @@
 """Fragment similarity joins: an inverted index on shingles, exact integer scores, best candidate, covered percent.
 
-Equal texts form a class, and only classes are compared: copies cost nothing but their rows. Shingles of classes meet,
-and counts of shared shingles are summed before they are shuffled. A phrase can only be contained in a candidate that
+Equal texts form a class, and only classes are compared: copies cost nothing but their rows. A text's most frequent
+shingles, as many as it may share without reaching the threshold, don't meet the index; the others do, and their counts
+are summed before they are shuffled. A phrase can only be contained in a candidate that
 has the shingles of its inner words, so the count bounds the phrase bonus from above: pairs that cannot reach the
 threshold go, then those that cannot be the best of their chunk, and texts are looked up for what is left.
 """
@@ -15,7 +16,10 @@ from quillmark.functions import text as T
 from quillmark.operators.chunks import with_shingles
 from quillmark.operators.intervals import covered
 from quillmark.params import EXCERPT, MATCHES, PHRASE_LEAST_WORDS, PHRASE_SIZES, PHRASE_STEP, SHINGLE_WORDS, Scoring
+from quillmark.sources.scratch import stored
 
+#: A shingle is frequent if it has more than this share's inverse of all shingles, and is met more often than the second number.
+MOST_FREQUENT, LEAST_FREQUENT = 100_000, 8
 #: Percent by which rounded scores may differ that compare as equal.
 SLACK = 0.02
 
@@ -54,44 +58,90 @@ def with_needs(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({f"need{i}": F.expr(_least_shared(n)) for i, n in enumerate(PHRASE_SIZES)}).drop("__w", "__s")
 
 
-def shared(query: DataFrame, candidate: DataFrame, q_key: list[str], c_key: list[str], apart: Column | None = None) -> DataFrame:
-    """(q_key, c_key, k, c, p): shingles that two rows share, and how many each has.
+def hashed(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``h1`` and ``h2``: 96 bits of hashes of each distinct shingle of ``text``, and of ``within`` if there is such a column."""
+    rows = with_shingles(rows.withColumnRenamed(text, "normalized_text")).withColumnRenamed("normalized_text", text)
+    more = [F.col(c) for c in rows.columns if c == "within"]
+    bits = {"h1": F.transform("shingles", lambda x: F.xxhash64(x, *more)), "h2": F.transform("shingles", lambda x: F.hash(x, *more))}
+    return rows.withColumns(bits).drop("shingles")
 
-    Shingles meet by 96 bits of hashes (and within equal values of a column ``within``, if both have it); a shingle of
-    many candidates is dealt with by the adaptive skew join, and counts are summed before they are shuffled.
-    """
 
-    def postings(rows: DataFrame, key: list[str], size: str) -> DataFrame:
-        # never null, or Spark would infer a filter and push it through all that makes the array
-        number = F.coalesce(F.size("shingles"), F.lit(0))
-        of = ["s", *(c for c in rows.columns if c == "within")]
-        rows = with_shingles(rows).select(*key, *of[1:], number.alias(size), F.explode_outer("shingles").alias("s")).where("s is not null")
-        return rows.select(*key, size, F.xxhash64(*of).alias("h1"), F.hash(*of).alias("h2"))
+def _least_k(s: Scoring) -> str:
+    """SQL for the fewest shared shingles at which a text of ``c`` may reach the threshold, whatever the candidate's size."""
+    bonus = "0"
+    for i, points in reversed(list(enumerate(s.bonus))):
+        bonus = f"if(k >= need{i}, {points}, {bonus})"
+    # the score falls with the candidate's size, which is k at least
+    reaches = f"k * ({s.coverage} * (c + k) + {2 * s.dice} * c) + ({bonus}) * c * (c + k) >= {s.threshold} * c * (c + k)"
+    return f"get(filter(sequence(1, greatest(c, 1)), k -> {reaches}), 0)"
+
+
+def frequent(candidate: DataFrame) -> DataFrame:
+    """(h1, h2, df): shingles of more than 1 / MOST_FREQUENT of all shingles of the candidates, and so fewer than MOST_FREQUENT."""
+    total = candidate.agg(F.sum(F.size("h1"))).first()[0] or 0
+    counts = candidate.select(F.inline(F.arrays_zip("h1", "h2"))).groupBy("h1", "h2").agg(F.count("*").alias("df"))
+    return counts.where(F.col("df") > max(LEAST_FREQUENT, total // MOST_FREQUENT))
+
 
-    met = postings(query, q_key, "c").join(postings(candidate, c_key, "p"), ["h1", "h2"])
-    if apart is not None:
-        met = met.where(apart)
-    return met.groupBy(*q_key, *c_key, "c", "p").agg(F.count("*").alias("k"))
+def postings(candidate: DataFrame) -> DataFrame:
+    """(c1, c2, c_owner, p, h1, h2): the index, a row for each shingle of each candidate."""
+    return candidate.select("c1", "c2", "c_owner", F.size("h1").alias("p"), F.inline(F.arrays_zip("h1", "h2")))
 
 
-def within_reach(query: DataFrame, candidate: DataFrame, s: Scoring) -> DataFrame:
+def shared(query: DataFrame, candidate: DataFrame, s: Scoring, index: DataFrame | None = None) -> DataFrame:
+    """(q1, q2, c1, c2, c, p, need0, need1, need2, sure, k): shingles that pairs of classes share, where these may reach the threshold.
+
+    Both sides have h1 and h2, the query's also its needs. A pair that reaches the threshold shares ``least`` shingles or
+    more, so it shares one besides the ``least - 1`` most frequent ones of the query: only the others meet the index. The
+    left out ones are counted for pairs whose count could still suffice. Nothing is capped. ``index`` is the candidates'
+    postings, if they are kept.
+    """
+    needs = [f"need{i}" for i in range(len(PHRASE_SIZES))]
+    query = query.withColumn("c", F.size("h1")).withColumn("least", F.expr(_least_k(s))).where("least is not null")
+    common = F.broadcast(frequent(candidate))
+    each = query.select("q1", "q2", "least", F.inline(F.arrays_zip("h1", "h2"))).join(common, ["h1", "h2"])
+    skipped = each.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("df", "h1", "h2")), False).alias("x"), F.first("least").alias("least"))
+    skipped = skipped.where("least > 1").select("q1", "q2", F.expr("transform(slice(x, 1, least - 1), x -> struct(x.h1 as h1, x.h2 as h2))").alias("skipped"))
+    # small numbers of a class, in one, to be grouped by
+    query = query.join(skipped, ["q1", "q2"], "left").withColumn("skipped", F.coalesce("skipped", F.expr("cast(array() as array<struct<h1: bigint, h2: int>>)")))
+    query = query.withColumn("numbers", F.struct("c", *needs, F.size("skipped").alias("rest")))
+    left = query.select("q1", "q2", "q_owner", "numbers", F.explode(F.expr("filter(arrays_zip(h1, h2), x -> not array_contains(skipped, x))")).alias("x"))
+    left = left.select("q1", "q2", "q_owner", "numbers", "x.h1", "x.h2")
+    met = left.join(postings(candidate) if index is None else index, ["h1", "h2"]).where("q_owner is null or c_owner is null or q_owner <> c_owner")
+    sure = F.expr("q_owner is not null or c_owner is null").alias("sure")
+    pairs = met.groupBy("q1", "q2", "c1", "c2", "numbers", "p", sure).agg(F.count("*").alias("k"))
+    pairs = pairs.select("q1", "q2", "c1", "c2", "p", "sure", "k", "numbers.*")
+    pairs = pairs.where(_may_reach("k + rest", s))
+    # what was left out, for the pairs that are left
+    has = candidate.select("c1", "c2", F.inline(F.arrays_zip("h1", "h2"))).join(common.drop("df"), ["h1", "h2"])
+    has = has.groupBy("c1", "c2").agg(F.collect_list(F.struct("h1", "h2")).alias("has"))
+    pairs = pairs.join(query.select("q1", "q2", "skipped").where("size(skipped) > 0"), ["q1", "q2"], "left").join(has, ["c1", "c2"], "left")
+    more = F.expr("coalesce(size(filter(skipped, x -> array_contains(has, x))), 0)")
+    return pairs.withColumn("k", F.col("k") + more).drop("rest", "skipped", "has")
+
+
+def _most_bonus(k: str, s: Scoring) -> str:
+    bonus = "0"
+    for i, points in reversed(list(enumerate(s.bonus))):
+        bonus = f"case when {k} >= need{i} then {points} else {bonus} end"
+    return bonus
+
+
+def _may_reach(k: str, s: Scoring) -> str:
+    """SQL that tells whether ``k`` shared shingles may suffice for the threshold."""
+    n, d = _points(s, f"({_most_bonus(k, s)})", f"cast({k} as bigint)")
+    return f"{n} >= {s.threshold} * {d}"
+
+
+def within_reach(query: DataFrame, candidate: DataFrame, s: Scoring, index: DataFrame | None = None) -> DataFrame:
     """(q1, q2, c1, c2, c, p, k, sure, highest): pairs of classes that may reach the threshold.
 
     ``highest`` is an upper bound of the score in percent; ``sure`` tells that each row of the query class has a row of
     another owner in the candidate class.
     """
-    needs = [f"need{i}" for i in range(len(PHRASE_SIZES))]
-    asked = with_needs(query, "q_text").withColumnRenamed("q_text", "normalized_text")
-    others = F.expr("q_owner is null or c_owner is null or q_owner <> c_owner")
-    pairs = shared(asked, candidate.withColumnRenamed("c_text", "normalized_text"), ["q1", "q2", "q_owner", *needs], ["c1", "c2", "c_owner"], others)
-    bonus = F.lit(0)
-    for need, points in reversed(list(zip(needs, s.bonus, strict=True))):
-        bonus = F.when(F.col("k") >= F.col(need), points).otherwise(bonus)
-    pairs = pairs.withColumns({x: F.col(x).cast("long") for x in ("c", "p")}).withColumn("most", bonus)
-    n, d = _points(s, "most")
-    pairs = pairs.where(F.expr(f"{n} >= {s.threshold} * {d}"))
-    sure = F.expr("q_owner is not null or c_owner is null")
-    return pairs.select("q1", "q2", "c1", "c2", "c", "p", "k", sure.alias("sure"), F.expr(f"({n}) / cast({d} as double)").alias("highest"))
+    pairs = shared(query, candidate, s, index).where(_may_reach("k", s))
+    n, d = _points(s, f"({_most_bonus('k', s)})")
+    return pairs.select("q1", "q2", "c1", "c2", *[F.col(x).cast("long").alias(x) for x in ("c", "p", "k")], "sure", F.expr(f"({n}) / cast({d} as double)").alias("highest"))
 
 
 def _phrases(words: str, size: int) -> str:
@@ -113,10 +163,10 @@ def with_bonus(pairs: DataFrame, s: Scoring, chunk: str = "q_text", candidate: s
     return pairs.withColumn("bonus", F.when(F.size("__w") < PHRASE_LEAST_WORDS, 0).otherwise(bonus)).drop("__w")
 
 
-def _points(s: Scoring, bonus: str) -> tuple[str, str]:
+def _points(s: Scoring, bonus: str, k: str = "k") -> tuple[str, str]:
     """SQL for the score's numerator, in percent, and denominator, both integers."""
-    d = "(c * (c + p))"
-    return f"least(k * ({s.coverage} * (c + p) + {2 * s.dice} * c) + {bonus} * {d}, 100 * {d})", d
+    d = "(cast(c as bigint) * (c + p))"
+    return f"least({k} * ({s.coverage} * (c + p) + {2 * s.dice} * c) + {bonus} * {d}, 100 * {d})", d
 
 
 def scored(pairs: DataFrame, s: Scoring) -> DataFrame:
@@ -135,12 +185,27 @@ def contenders(pairs: DataFrame, s: Scoring) -> DataFrame:
     return pairs.withColumn("best", F.coalesce(best, F.lit(0))).where(F.col("highest") >= F.col("best") - SLACK).drop("best")
 
 
+def asked_classes(query: DataFrame) -> DataFrame:
+    """Classes that are asked about (as ``classes`` gives them), with their needs and shingles, written once."""
+    return stored(hashed(with_needs(query, "q_text"), "q_text"))
+
+
+def known_classes(candidate: DataFrame) -> DataFrame:
+    """Classes of candidates with their shingles, written once."""
+    return stored(hashed(candidate, "c_text"))
+
+
 def class_scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only: bool) -> DataFrame:
     """(q1, q2, c1, c2, k, bonus, hundredths) of pairs of classes at or above the threshold.
 
     With ``best_only``, pairs that cannot be the best of any of their chunks are left out.
     """
-    pairs = within_reach(query, candidate, s)
+    return scores(asked_classes(query), known_classes(candidate), s, best_only)
+
+
+def scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only: bool, index: DataFrame | None = None) -> DataFrame:
+    """The same of classes whose shingles are known, and of their kept postings."""
+    pairs = within_reach(query, candidate, s, index)
     if best_only:
         pairs = contenders(pairs, s)
     pairs = pairs.join(query.select("q1", "q2", "q_text"), ["q1", "q2"]).join(candidate.select("c1", "c2", "c_text"), ["c1", "c2"])

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import access, chunks, intervals, reports, search, sections, similarity, style, webqueries
-from quillmark.params import BANK, BANK_NEWEST, EXCERPT, INTERNAL, INTERNAL_QUERY, WEB, WEB_QUERY
+from quillmark.params import BANK, BANK_NEWEST, EXCERPT, INTERNAL, INTERNAL_QUERY, WEB, WEB_QUERY, Windowing
 from quillmark.plans.oracle import ORACLE_SQL, planted
 from quillmark.sources import files, pages
+from quillmark.sources.scratch import stored
 from quillmark.sources.tables import dealt, table
 
 QUERIES: dict = {}
@@ -89,11 +90,22 @@ def fragment_duplicates(spark, sf_dir):
 # --- similarity between documents
 
 
+FRAGMENT_TEXT = ["doc_id", "chunk_ix", "start_offset", "end_offset", "word_count", "normalized_text"]
+
+
+def fragments(texts: DataFrame, w: Windowing) -> DataFrame:
+    """Fragments of the texts, made once."""
+    return stored(chunks.chunks(texts, w).select(*FRAGMENT_TEXT))
+
+
 def _bank_and_query(spark, sf_dir, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Fragments of all documents, and of the texts that are ``asked`` about (the documents themselves, if none are given)."""
     d = docs(spark, sf_dir)
-    bank = chunks.chunks(d, BANK).select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text")
-    return bank, chunks.chunks(d if asked is None else asked, INTERNAL_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+    query = fragments(d if asked is None else asked, INTERNAL_QUERY)
+    # the windows begin at the same words and are as long; those of the bank only have to have more words
+    same = asked is None and (BANK.size, BANK.step) == (INTERNAL_QUERY.size, INTERNAL_QUERY.step) and BANK.least >= INTERNAL_QUERY.least
+    bank = query.where(F.col("word_count") >= BANK.least) if same else fragments(d, BANK)
+    return bank.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text"), query.drop("word_count")
 
 
 PAIR = ["doc_id", "chunk_ix", "cand_doc", "cand_chunk"]
@@ -211,8 +223,8 @@ def web_candidates(spark, sf_dir):
 def searched_percent(spark, sf_dir):
     """Similarity of each document with the pages that its own queries find."""
     found = _collected(spark, sf_dir).select("page_id", F.col("doc_id").alias("within"), (F.col("query_ix") * 100 + F.col("rank")).alias("place"))
-    web = pages.page_texts(html(spark, sf_dir)).select("page_id", T.normalized(F.col("text")).alias("normalized_text")).join(found, "page_id")
-    asked = chunks.chunks(docs(spark, sf_dir), WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text", F.col("doc_id").alias("within"))
+    web = stored(_web_texts(spark, sf_dir).join(found, "page_id"))
+    asked = fragments(docs(spark, sf_dir), WEB_QUERY).drop("word_count").withColumn("within", F.col("doc_id"))
     scores = similarity.class_scores(similarity.classes(asked, "q"), similarity.classes(web, "c"), WEB, True)
     pairs = similarity.every_pair(scores, asked, web.select("normalized_text", "within", "place"))
     best = similarity.best_of_chunk(pairs, ["doc_id", "chunk_ix"], [F.col("place")])
@@ -220,10 +232,14 @@ def searched_percent(spark, sf_dir):
     return percent.select("doc_id", T.percent(F.col("hundredths")).alias("web_percent"))
 
 
+def _web_texts(spark, sf_dir) -> DataFrame:
+    return stored(pages.page_texts(html(spark, sf_dir)).select("page_id", T.normalized(F.col("text")).alias("normalized_text")))
+
+
 def _web(spark, sf_dir, best_only: bool, texts: DataFrame | None = None) -> DataFrame:
     """Pairs of fragments and pages at or above the threshold; of equal pages the first one, if only the best is asked for."""
-    web = pages.page_texts(html(spark, sf_dir)).select("page_id", T.normalized(F.col("text")).alias("normalized_text"))
-    asked = chunks.chunks(docs(spark, sf_dir) if texts is None else texts, WEB_QUERY).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
+    web = _web_texts(spark, sf_dir)
+    asked = fragments(docs(spark, sf_dir) if texts is None else texts, WEB_QUERY).drop("word_count")
     scores = similarity.class_scores(similarity.classes(asked, "q"), similarity.classes(web, "c"), WEB, best_only)
     if best_only:
         web = web.groupBy("normalized_text").agg(F.min("page_id").alias("page_id"))
@@ -279,7 +295,7 @@ def total_percent(spark, sf_dir):
 
 def _percents(spark, sf_dir) -> DataFrame:
     """(doc_id, similarity, ai): total similarity and style probability in hundredths of a percent."""
-    total = similarity.matched_percent(docs(spark, sf_dir), _ranges(spark, sf_dir)).withColumnRenamed("hundredths", "similarity")
+    total = similarity.matched_percent(docs(spark, sf_dir), stored(_ranges(spark, sf_dir))).withColumnRenamed("hundredths", "similarity")
     d = paged(spark, sf_dir)
     ai = style.probability(d, style.scores(d)).withColumnRenamed("hundredths", "ai")
     return total.join(ai, "doc_id")
@@ -339,10 +355,10 @@ def analysed(spark, sf_dir) -> DataFrame:
 @query
 def analysis_percents(spark, sf_dir):
     """A report's percents and risk by the whole analysis: filtered texts against all fragments of the bank, and pages."""
-    d = analysed(spark, sf_dir)
+    d = stored(analysed(spark, sf_dir))
     place = ["doc_id", "start_offset", "end_offset"]
-    internal = similarity.top_matches(_internal_best(spark, sf_dir, d)).select(*place)
-    web = similarity.top_matches(web_best_of(spark, sf_dir, d)).select(*place)
+    internal = stored(similarity.top_matches(_internal_best(spark, sf_dir, d)).select(*place))
+    web = stored(similarity.top_matches(web_best_of(spark, sf_dir, d)).select(*place))
     rows = style.probability(d, style.scores(d)).withColumnRenamed("hundredths", "ai")
     for name, found in {"internal": internal, "web": web, "total": internal.unionByName(web)}.items():
         rows = rows.join(similarity.matched_percent(d, found).withColumnRenamed("hundredths", name), "doc_id")
@@ -419,7 +435,7 @@ def _findings(spark, sf_dir) -> DataFrame:
 
 @query
 def highlight_segments(spark, sf_dir):
-    rows = intervals.segments(docs(spark, sf_dir), _findings(spark, sf_dir))
+    rows = intervals.segments(docs(spark, sf_dir), stored(_findings(spark, sf_dir)))
     return rows.select("doc_id", "seg_ix", F.sha2("text", 256).alias("hash"), "finding_type")
 
 

@@ -296,7 +296,7 @@ sp as (select query, string_split(trim(substr({squeeze('query')}, 1, 380)), '"')
 sb as (select query, list_filter(p, lambda x, i: i % 2 = 0) quoted, array_to_string(list_filter(p, lambda x, i: i % 2 = 1), ' ') plain from sp),
 sc as (select query, lower(regexp_extract(plain, '(?:^| )site:(\S+)', 1)) site, lower(regexp_extract(plain, '(?:^| )filetype:(\S+)', 1)) kind,
   list_sort(list_distinct(list_filter(list_concat(list_transform(quoted, lambda x: {normalized('x')}),
-    string_split({normalized("regexp_replace(plain, '(?:^| )(?:site|filetype):\S+', ' ', 'g')")}, ' ')), lambda x: x <> ''))) parts from sb),
+    string_split({normalized("regexp_replace(plain, '(?:^| )(?:site|filetype):\\S+', ' ', 'g')")}, ' ')), lambda x: x <> ''))) parts from sb),
 sd as (select distinct parts from sc where len(parts) > 0),
 se as (select parts, unnest(list_distinct(string_split(array_to_string(parts, ' '), ' '))) w from sd),
 sg as (select page_id, url, {DOMAIN} domain, lower(string_split(url, '?')[1]) path, {normalized(visible('html'))} t from pages),

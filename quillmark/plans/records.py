@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import access, records, similarity
+from quillmark.operators import access, records, similarity, style
 from quillmark.operators.chunks import chunks
 from quillmark.operators.reports import latest
 from quillmark.params import BANK, BANK_NEWEST, INTERNAL, INTERNAL_QUERY
-from quillmark.plans.catalog import docs, internal_best_of, web_best_of
-from quillmark.plans.oracle import TOKENS, WEB_BEST, best, fragments, matched, scored, shingled, with_
+from quillmark.plans.catalog import docs, internal_best_of, paged, web_best_of
+from quillmark.plans.catalog import fragments as fragments_of
+from quillmark.plans.oracle import INTERNAL_PAIRS, SCORES, STYLE_TOP, TOKENS, WEB_BEST, best, fragments, matched, scored, shingled, with_
+from quillmark.sources import keyed
+from quillmark.sources.scratch import bucketed, new_folder, stored
 from quillmark.sources.tables import table
 
 QUERIES: dict = {}
@@ -192,14 +195,50 @@ def institution_percent(spark, sf_dir):
     """Similarity with the newest fragments of the document's own institution only, as an analysis takes its candidates."""
     source = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("within"))
     d = docs(spark, sf_dir)
-    bank = chunks(d, BANK).join(source, "doc_id").where("within is not null")
+    made = fragments_of(d, INTERNAL_QUERY)
+    bank = made.where(F.col("word_count") >= BANK.least).join(source, "doc_id").where("within is not null")
     bank = latest(bank, "within", [F.col("doc_id").desc(), F.col("chunk_ix").desc()], BANK_NEWEST)
-    bank = bank.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text", "within")
-    asked = chunks(d, INTERNAL_QUERY).join(source, "doc_id").select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text", "within")
+    bank = stored(bank.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text", "within"))
+    asked = made.drop("word_count").join(source, "doc_id")
     top = similarity.top_matches(internal_best_of(asked, bank))
     return similarity.matched_percent(d, top).select("doc_id", T.percent(F.col("hundredths")).alias("similarity_percent"))
 
 
+def earlier_scores(asked: DataFrame, bank: DataFrame, buckets: int = 64) -> DataFrame:
+    """Best score of each fragment of ``asked`` with a fragment of the bank that arrived before it (owner below doc_id).
+
+    The bank's postings are kept in buckets; what arrives is dealt to these, and the bank stays where it is.
+    """
+    first = bank.groupBy("normalized_text").agg(F.min("cand_doc").alias("first"))
+    known = similarity.known_classes(similarity.classes(bank, "c"))
+    index = bucketed(similarity.postings(known), ["h1", "h2"], buckets)
+    scores = similarity.scores(similarity.asked_classes(similarity.classes(asked, "q")), known, INTERNAL, False, index)
+    pairs = similarity.every_pair(scores, asked, first).where(F.col("first") < F.col("doc_id"))
+    return similarity.best_of_chunk(pairs, ["doc_id", "chunk_ix"], [F.col("first")])
+
+
+@query
+def asof_percent(spark, sf_dir):
+    """Similarity of each document with what was in the bank when it arrived."""
+    d = docs(spark, sf_dir)
+    made = fragments_of(d, INTERNAL_QUERY)
+    bank = made.where(F.col("word_count") >= BANK.least).select(F.col("doc_id").alias("cand_doc"), "normalized_text")
+    top = similarity.top_matches(earlier_scores(made.drop("word_count"), bank))
+    return similarity.matched_percent(d, top).select("doc_id", T.percent(F.col("hundredths")).alias("similarity_percent"))
+
+
+@query
+def replaced_findings(spark, sf_dir):
+    """Style findings on storage after two runs: one over all documents, one over each third with every other finding, scored anew."""
+    d = paged(spark, sf_dir)
+    found = stored(style.findings(style.scores(d)).select("doc_id", "rank", "start_offset", "end_offset", F.col("score").cast("long").alias("score")))
+    path = new_folder(spark, "findings")
+    keyed.replace(found, d, path, "doc_id")
+    again = d.where("doc_id % 3 = 0")
+    keyed.replace(found.where("rank % 2 = 1").withColumn("score", F.col("score") + 1), again, path, "doc_id")
+    return keyed.read(spark, path, found.schema)
+
+
 SHARED = f"""
 u as (select {USERS.replace("string", "varchar")} from customer),
 d as (select x.*, u.institution_id from (select {DOCUMENTS} from orders) x join u on u.id = x.owner_id),
@@ -290,5 +329,14 @@ pt as (select pr.*, qi.start_offset, qi.end_offset, qi.t qt, bk.t ct from pr joi
 {scored('pt', INTERNAL)}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}""",
         "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
     ),
+    "asof_percent": with_(
+        f"{INTERNAL_PAIRS.replace('q.doc_id <> b.doc_id', 'b.doc_id < q.doc_id')}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}",
+        "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
+    ),
+    "replaced_findings": with_(
+        f"{SCORES}, {STYLE_TOP}",
+        """select doc_id, rank, start_offset, end_offset, score from sf where doc_id % 3 <> 0
+union all select doc_id, rank, start_offset, end_offset, score + 1 from sf where doc_id % 3 = 0 and rank % 2 = 1""",
+    ),
     "report_web_findings": with_(WEB_BEST, "select doc_id, rank, page_id, start_offset, end_offset, (h::decimal(7,0) / 100)::decimal(5,2) confidence from tp"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import time
 import re
 import zipfile
 
@@ -73,8 +74,8 @@ def test_copies_score_all(spark):
     w = Windowing(85, 45, 30)
     q = chunks.chunks(d, w).select("doc_id", "chunk_ix", "start_offset", "end_offset", "normalized_text")
     c = q.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text")
-    pairs = similarity.shared(q, c, ["doc_id", "chunk_ix"], ["cand_doc", "cand_chunk"], F.col("doc_id") != F.col("cand_doc"))
-    got = similarity.scored(pairs.withColumn("bonus", F.lit(0)), INTERNAL).where("chunk_ix = cand_chunk").collect()
+    scores = similarity.class_scores(similarity.classes(q, "q", "doc_id"), similarity.classes(c, "c", "cand_doc"), INTERNAL, False)
+    got = similarity.every_pair(scores, q, c).where("doc_id <> cand_doc and chunk_ix = cand_chunk").collect()
     assert {(r.doc_id, r.chunk_ix, r.hundredths) for r in got} == {(d, i, 10000) for d in (0, 1) for i in (0, 1)} | {
         (d, i, 10000) for d in (0, 1) for i in {r.chunk_ix for r in got}
     }
@@ -245,3 +246,56 @@ def test_small_files_are_dealt_over_all_cores(spark, tmp_path):
     rows = dealt(table(spark, folder.replace("{", "\\{").replace("}", "\\}"), "t"))
     assert rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and rows.count() == 100
     assert dealt(spark.range(5)).count() == 5
+
+
+@pytest.mark.parametrize("best_only", [False, True])
+def test_left_out_shingles_lose_nothing(spark, monkeypatch, best_only):
+    """Texts of few words share frequent shingles; with every shingle taken for frequent, all pairs and counts stay."""
+    monkeypatch.setattr(similarity, "LEAST_FREQUENT", 0)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    texts = set()
+    for _ in range(60):
+        at, n = rng.randrange(30), rng.randint(3, 25)
+        texts.add(" ".join(rng.choices(base[:3], k=rng.randint(0, 20)) + base[at : at + n] + rng.choices(base, k=rng.randint(0, 30))))
+    texts = sorted(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, normalized_text string").withColumn("chunk_ix", F.lit(0))
+    c = rows.select(F.col("doc_id").alias("cand_doc"), F.lit(0).alias("cand_chunk"), "normalized_text")
+    scores = similarity.class_scores(similarity.classes(rows, "q", "doc_id"), similarity.classes(c, "c", "cand_doc"), INTERNAL, best_only)
+    got = {(r.doc_id, r.cand_doc): (r.k, r.hundredths) for r in similarity.every_pair(scores, rows, c).collect()}
+    shingles = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} or {(w,) for w in t.split()} for t in texts]
+    pairs = [(i, j, len(a & b), a, b) for i, a in enumerate(shingles) for j, b in enumerate(shingles) if i != j and a & b]
+    frame_ = spark.createDataFrame([(i, j, k, len(a), len(b), texts[i], texts[j]) for i, j, k, a, b in pairs], "doc_id int, cand_doc int, k int, c int, p int, q_text string, c_text string")
+    want = {(r.doc_id, r.cand_doc): (r.k, r.hundredths) for r in similarity.scored(similarity.with_bonus(frame_, INTERNAL), INTERNAL).collect()}
+    if best_only:
+        assert all(want[x] == got[x] for x in got)
+        assert {i: max(h for (a, _), (_, h) in want.items() if a == i) for i, _ in want} == {i: max(h for (a, _), (_, h) in got.items() if a == i) for i, _ in got}
+    else:
+        assert got == want
+
+
+def test_segments_match_a_scan_and_take_many_findings(spark):
+    rng = random.Random(5)
+    docs, found = [], []
+    for d in range(30):
+        text = "".join(rng.choice("ab é日🎉") for _ in range(rng.choice([0, 1, 50, 9000])))
+        docs.append((d, text))
+        for _ in range(rng.choice([0, 1, 5, 60])):
+            a = rng.randint(0, len(text) + 3)
+            found.append((d, a, a + rng.randint(-1, rng.choice([3, 40, 5000])), rng.choice(["S", "A"]), rng.randint(0, 1)))
+    docs.append((99, "x y " * 100_000))
+    found += [(99, 3 * i, 3 * i + rng.randint(1, 9), "S", 0) for i in range(100_000)]
+    schema = "doc_id int, start_offset int, end_offset int, finding_type string, priority int"
+    began = time.time()
+    got: dict = {}
+    for r in intervals.segments(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(found, schema)).collect():
+        got.setdefault(r.doc_id, []).append((r.seg_ix, r.text, r.finding_type))
+    assert time.time() - began < 60
+    for d, text in docs:
+        cursor, want = 0, []
+        for _, a, _, b, kind in sorted((x[0], x[1], x[4], x[2], x[3]) for x in found if x[0] == d):
+            if a < b and cursor <= a < len(text):
+                want += [(text[cursor:a], None)] * (cursor < a) + [(text[a : min(b, len(text))], kind)]
+                cursor = min(b, len(text))
+        want += [(text[cursor:], None)] * (cursor < len(text))
+        assert [x[1:] for x in sorted(got.get(d, []))] == want
