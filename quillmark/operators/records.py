@@ -120,7 +120,14 @@ def job_states(log: DataFrame) -> DataFrame:
     """
     last = Window.partitionBy("job_id").orderBy(F.col("at").desc(), F.col("seq").desc())
     rows = log.withColumn("begun", F.max(F.when(F.col("kind") == "start", F.struct("at", "seq"))).over(Window.partitionBy("job_id")))
-    rows = rows.withColumn("rn", F.row_number().over(last)).where("rn = 1")
+    return states(rows.withColumn("rn", F.row_number().over(last)).where("rn = 1"))
+
+
+def states(rows: DataFrame) -> DataFrame:
+    """The state of each job from its last event (job_id, at, seq, kind, step, message) and ``begun``, the (at, seq) of its last start.
+
+    An event before the job's start changes nothing.
+    """
     known = F.col("begun").isNotNull() & (F.struct("at", "seq") >= F.col("begun"))
     status = F.when(~F.coalesce(known, F.lit(False)), PENDING).when(F.col("kind") == "success", "SUCCESS").when(F.col("kind") == "failure", "FAILED").otherwise("RUNNING")
     rows = rows.withColumn("job_status", status)
