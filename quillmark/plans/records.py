@@ -6,6 +6,8 @@ of these a certificate. Roles, names and states are rules of the numbers, which
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,11 @@ USERS = """c_custkey as id, case when c_custkey % 50 <> 0 then c_nationkey end a
   lower(c_name) as username"""
 DOCUMENTS = """o_orderkey as id, o_custkey as owner_id, o_orderdate as created_at,
   case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'PROCESSING' else 'FAILED' end as status"""
-REPORTS = "id as report_id, id as document_id, id % 5 <> 0 as is_final, status, owner_id, institution_id, created_at"
+REPORTS = "id as report_id, id as document_id, id % 5 <> 0 as is_final, status, created_at"
 CERTIFICATES = """report_id + 1000000000 as id, report_id, 'VQ-2023-' || cast(report_id as string) as code,
-  'h' || cast(report_id * 7 as string) as verification_hash, report_id % 7 <> 0 as is_active, created_at, owner_id, institution_id"""
+  'h' || cast(report_id * 7 as string) as verification_hash, report_id % 7 <> 0 as is_active, created_at"""
+#: In SQL, reports and certificates carry the scope of their document; here they are tables of their own.
+SCOPE = ", owner_id, institution_id"
 
 
 def users(spark, sf_dir) -> DataFrame:
@@ -57,27 +61,57 @@ def certificates(spark, sf_dir) -> DataFrame:
     return reports(spark, sf_dir).where("report_id % 4 = 1").selectExpr(f"struct({CERTIFICATES}) as x").select("x.*")
 
 
-def _scopes(rows: DataFrame, key: str) -> DataFrame:
-    """What a student, a teacher, a superuser, a superuser with a student's role, and a teacher of no institution may see."""
-    asked = {
-        "student": (7, "STUDENT", False, 3), "teacher": (8, "TEACHER", False, 3), "superuser": (9, "ADMIN", True, None),
-        "student superuser": (7, "STUDENT", True, 3), "stranger": (10, "TEACHER", False, None),
-    }
-    out = None
-    for name, who in asked.items():
-        seen = access.visible_to(rows, *who).select(F.lit(name).alias("scope"), key)
-        out = seen if out is None else out.union(seen)
-    return out
+#: A student, a teacher, a superuser, a superuser with a student's role, and a teacher of no institution.
+ASKING = {
+    "student": (7, "STUDENT", False, 3), "teacher": (8, "TEACHER", False, 3), "superuser": (9, "ADMIN", True, None),
+    "student superuser": (7, "STUDENT", True, 3), "stranger": (10, "TEACHER", False, None),
+}
+
+
+def _scopes(rows: DataFrame, parents: list, key: str) -> DataFrame:
+    """What each of ASKING may see."""
+    seen = [access.visible_through(rows, parents, *who).select(F.lit(name).alias("scope"), key) for name, who in ASKING.items()]
+    return reduce(DataFrame.union, seen)
 
 
 @query
 def rls_reports(spark, sf_dir):
-    return _scopes(reports(spark, sf_dir), "report_id")
+    return _scopes(reports(spark, sf_dir), [(documents(spark, sf_dir), "document_id", "id")], "report_id")
 
 
 @query
 def rls_certificates(spark, sf_dir):
-    return _scopes(certificates(spark, sf_dir).where("is_active"), "code")
+    parents = [(reports(spark, sf_dir), "report_id", "report_id"), (documents(spark, sf_dir), "document_id", "id")]
+    return _scopes(certificates(spark, sf_dir).where("is_active"), parents, "code")
+
+
+def certificate_rows(spark, sf_dir) -> DataFrame:
+    """Certificates with their report, its document, and that document's owner and institution."""
+    c = certificates(spark, sf_dir).select("id", "code", "verification_hash", "is_active", "report_id")
+    r = reports(spark, sf_dir).select("report_id", "document_id", "is_final", "status")
+    d = documents(spark, sf_dir).selectExpr("id as document_id", "'Work ' || id as title", "owner_id", "institution_id")
+    u = users(spark, sf_dir).selectExpr("id as owner_id", "username", "username || '@example.org' as email", "role")
+    return c.join(r, "report_id").join(d, "document_id").join(u, "owner_id")
+
+
+@query
+def certificate_paths(spark, sf_dir):
+    """Each certificate with what lies three relations away."""
+    rows = certificate_rows(spark, sf_dir)
+    return rows.select("id", "code", "report_id", "document_id", "title", "status", "owner_id", "username", "institution_id")
+
+
+#: What the search over certificates looks for, in its own and in joined fields, and what it counts.
+CERTIFICATE_SEARCH = ("vq-2023-1 #00 7", ["code", "verification_hash", "title", "username", "email"], ["is_active", "status", "institution_id", "role"])
+
+
+@query
+def certificate_search_facets(spark, sf_dir):
+    """Certificates that hold every term in some field, their own or a joined one, counted by each facet."""
+    terms, fields, facets = CERTIFICATE_SEARCH
+    rows = stored(certificate_rows(spark, sf_dir))
+    found = access.indexed_search(rows, access.trigram_index(rows, "id", fields), terms, "id", fields)
+    return access.faceted(found, facets)
 
 
 @query
@@ -173,7 +207,9 @@ def default_orders(spark, sf_dir):
     """Places in the models' own orders: documents of an owner and certificates of an institution newest first."""
     newest = [F.col("created_at").desc(), F.col("id").desc()]
     d = records.positions(documents(spark, sf_dir), "owner_id", newest).select(F.lit("document").alias("model"), "id", "position")
-    c = records.positions(certificates(spark, sf_dir), "institution_id", newest).select(F.lit("certificate").alias("model"), "id", "position")
+    held = certificates(spark, sf_dir).join(reports(spark, sf_dir).select("report_id", "document_id"), "report_id")
+    held = held.join(documents(spark, sf_dir).selectExpr("id as document_id", "institution_id"), "document_id")
+    c = records.positions(held, "institution_id", newest).select(F.lit("certificate").alias("model"), "id", "position")
     return d.union(c)
 
 
@@ -242,8 +278,8 @@ def replaced_findings(spark, sf_dir):
 SHARED = f"""
 u as (select {USERS.replace("string", "varchar")} from customer),
 d as (select x.*, u.institution_id from (select {DOCUMENTS} from orders) x join u on u.id = x.owner_id),
-r as (select {REPORTS} from d where id % 3 <> 0),
-ce as (select {CERTIFICATES.replace("string", "varchar")} from r where report_id % 4 = 1)"""
+r as (select {REPORTS}{SCOPE} from d where id % 3 <> 0),
+ce as (select {CERTIFICATES.replace("string", "varchar")}{SCOPE} from r where report_id % 4 = 1)"""
 
 
 def _scoped(rows: str, key: str) -> str:
@@ -261,6 +297,15 @@ def _code(report: str, attempt: str) -> str:
 ORACLE_SQL = {
     "rls_reports": _scoped("r", "report_id"),
     "rls_certificates": _scoped("(select * from ce where is_active)", "code"),
+    "certificate_paths": f"""with {SHARED}
+select ce.id, ce.code, ce.report_id, d.id document_id, 'Work ' || d.id title, r.status, d.owner_id, u.username, d.institution_id
+from ce join r using (report_id) join d on d.id = r.document_id join u on u.id = d.owner_id""",
+    "certificate_search_facets": f"""with {SHARED},
+x as (select ce.code, ce.verification_hash, ce.is_active, r.status, d.institution_id, u.role, 'Work ' || d.id title, u.username, u.username || '@example.org' email
+  from ce join r using (report_id) join d on d.id = r.document_id join u on u.id = d.owner_id),
+s as (select *, lower(concat_ws(chr(10), code, verification_hash, title, username, email)) t from x),
+f as (select * from s where {' and '.join(f"contains(t, '{t}')" for t in CERTIFICATE_SEARCH[0].split())})
+{' union all '.join(f"select '{c}' facet, {c}::varchar as value, count(*) n from f group by 2" for c in CERTIFICATE_SEARCH[2])}""",
     "resolved_owners": f"""with {SHARED},
 j as (select b.id, b.role, b.is_superuser su, b.institution_id bi, case when b.id % 13 <> 0 then b.id + 2 end chosen, s.id sid, s.institution_id si
   from u b left join u s on s.id = case when b.id % 13 <> 0 then b.id + 2 end and s.role = 'STUDENT' and s.is_active),

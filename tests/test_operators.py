@@ -299,3 +299,29 @@ def test_segments_match_a_scan_and_take_many_findings(spark):
                 cursor = min(b, len(text))
         want += [(text[cursor:], None)] * (cursor < len(text))
         assert [x[1:] for x in sorted(got.get(d, []))] == want
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark):
+    from quillmark.operators import access
+
+    rng = random.Random(3)
+    rows = [(i, *("".join(rng.choice("abcAB é") for _ in range(rng.randint(0, 12))) for _ in range(2))) for i in range(300)] + [(300, None, "abcab"), (301, None, None)]
+    df = spark.createDataFrame(rows, "id int, one string, two string")
+    index = access.trigram_index(df, "id", ["one", "two"])
+    for terms in ("abc", "ABC ba", "a b", "abca cab", "zzz", "", "é a"):
+        want = sorted(r.id for r in access.search(df, terms, ["one", "two"]).collect())
+        assert sorted(r.id for r in access.indexed_search(df, index, terms, "id", ["one", "two"]).collect()) == want
+    counts = {(r.facet, r.value): r.n for r in access.faceted(df.selectExpr("id % 2 = 0 as even", "id div 100 as century"), ["even", "century"]).collect()}
+    assert counts == {("even", "true"): 151, ("even", "false"): 151, ("century", "0"): 100, ("century", "1"): 100, ("century", "2"): 100, ("century", "3"): 2}
+
+
+def test_scopes_go_through_the_document(spark):
+    from quillmark.operators import access
+
+    documents = spark.createDataFrame([(1, 7, 3), (2, 8, 3), (3, 8, 4), (4, 9, None)], "id int, owner_id int, institution_id int")
+    reports = spark.createDataFrame([(10, 1), (20, 2), (30, 3), (40, 4), (50, None)], "report_id int, document_id int")
+    certificates = spark.createDataFrame([("a", 10), ("b", 20), ("c", 20), ("d", 40), ("e", 99)], "code string, report_id int")
+    parents = [(reports, "report_id", "report_id"), (documents, "document_id", "id")]
+    seen = lambda *who: sorted(r.code for r in access.visible_through(certificates, parents, *who).collect())
+    assert seen(7, "STUDENT") == ["a"] and seen(1, "TEACHER", False, 3) == ["a", "b", "c"] and seen(1, "TEACHER", False, None) == []
+    assert seen(1, "ADMIN", True) == ["a", "b", "c", "d"] and seen(9, "STUDENT", True) == ["d"]
