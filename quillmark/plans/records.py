@@ -18,8 +18,8 @@ from quillmark.operators.reports import latest
 from quillmark.params import BANK, BANK_NEWEST, INTERNAL, INTERNAL_QUERY
 from quillmark.plans.catalog import docs, internal_best_of, paged, web_best_of
 from quillmark.plans.catalog import fragments as fragments_of
-from quillmark.plans.oracle import INTERNAL_PAIRS, SCORES, STYLE_TOP, TOKENS, WEB_BEST, best, fragments, matched, scored, shingled, with_
-from quillmark.sources import keyed
+from quillmark.plans.oracle import INTERNAL_PAIRS, SCORES, STYLE_TOP, TOKENS, WEB_BEST, best, fragments, line_breaks, matched, scored, shingled, strip, with_
+from quillmark.sources import docx, keyed
 from quillmark.sources.scratch import bucketed, new_folder, stored
 from quillmark.sources.tables import table
 
@@ -275,6 +275,16 @@ def replaced_findings(spark, sf_dir):
     return keyed.read(spark, path, found.schema)
 
 
+@query
+def docx_round_trip(spark, sf_dir):
+    """Documents written as DOCX files and read back: the text that an upload of each would have."""
+    path = new_folder(spark, "uploads")
+    docx.write(docs(spark, sf_dir).select(F.col("doc_id").alias("name"), "text"), path)
+    rows = docx.read(spark, path).where("error is null")
+    name = F.regexp_extract("path", r"([^/]*)\.docx$", 1).cast("long")
+    return rows.select(name.alias("doc_id"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
 SHARED = f"""
 u as (select {USERS.replace("string", "varchar")} from customer),
 d as (select x.*, u.institution_id from (select {DOCUMENTS} from orders) x join u on u.id = x.owner_id),
@@ -374,6 +384,11 @@ pt as (select pr.*, qi.start_offset, qi.end_offset, qi.t qt, bk.t ct from pr joi
 {scored('pt', INTERNAL)}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}""",
         "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
     ),
+    "docx_round_trip": rf"""
+with l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+  {strip(r"regexp_replace(x, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')")}), lambda x: x <> '') p from documents),
+c as (select doc_id, {line_breaks("array_to_string(p, chr(10))")} t from l)
+select doc_id, length(t)::bigint n_chars, sha256(t) content_sha256 from c""",
     "asof_percent": with_(
         f"{INTERNAL_PAIRS.replace('q.doc_id <> b.doc_id', 'b.doc_id < q.doc_id')}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}",
         "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
