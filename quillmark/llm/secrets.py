@@ -222,10 +222,15 @@ def find(text: str, models: Models) -> list[tuple[int, int, int]]:
     if longest_run(data, _TOKEN, SHORTEST):
         if longest_run(data, _LOWER_HEX, 24):
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = sorted(found)
+        base, i = sorted(found), 0
+        near: list[tuple[int, int, int]] = []  # base spans that begin before the run's end and end after its start
         for m in RUN.finditer(text):
             at = m.start()
-            for a, _, b in [*(x for x in base if x[0] < m.end() and x[2] > m.start()), (m.end(), 0, m.end())]:
+            first = i
+            while i < len(base) and base[i][0] < m.end():
+                i += 1
+            near = [x for x in near + base[first:i] if x[2] > at]
+            for a, _, b in [*near, (m.end(), 0, m.end())]:
                 if a - at >= SHORTEST:
                     found += [(at + i, 3, at + j) for i, j in stretches(text[at:a], models)]
                 at = max(at, b)

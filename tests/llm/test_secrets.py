@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from quillmark.llm import secrets
 
@@ -78,3 +79,16 @@ def test_letters_alone_several_secrets_and_rests_beside_patterns():
     assert [(a, k) for a, k, _ in secrets.find(beside, models)] == [(0, 3), (25, 0)]
     for rule in ["-" * 80, "=" * 30 + "Section" + "=" * 30, "g" * 64, "1234567890" * 5, "_" * 40 + "name"]:
         assert not any(k == 3 for _, k, _ in secrets.find(rule, models))
+
+
+def test_many_spans_and_runs_take_linear_time():
+    models = secrets.train()
+    line = 'password = "hunter2hunter2" AKIA' + "A1" * 10 + " " + "ab12" * 8 + " some_longer_identifier_here/of/a/path "
+    secrets.find(line, models)
+    took = []
+    for n in (1000, 4000):
+        began = time.time()
+        found = secrets.find(line * n, models)
+        took.append(time.time() - began)
+        assert len(found) >= 3 * n
+    assert took[1] < 8 * took[0] + 1
