@@ -275,6 +275,17 @@ def replaced_findings(spark, sf_dir):
     return keyed.read(spark, path, found.schema)
 
 
+@query
+def reindexed_bank(spark, sf_dir):
+    """The bank on storage after all documents were indexed, and each fourth anew with the first half of its text."""
+    d, path = docs(spark, sf_dir), new_folder(spark, "bank")
+    index = lambda texts: chunks(texts, BANK).select("doc_id", "chunk_ix", "start_offset", "end_offset", "content_hash")
+    keyed.replace(index(d), d, path, "doc_id")
+    changed = d.where("doc_id % 4 = 0").withColumn("text", F.expr("substring(text, 1, cast(length(text) div 2 as int))"))
+    keyed.replace(index(changed), changed, path, "doc_id")
+    return keyed.read(spark, path, index(d).schema)
+
+
 @query
 def docx_round_trip(spark, sf_dir):
     """Documents written as DOCX files and read back: the text that an upload of each would have."""
@@ -384,6 +395,11 @@ pt as (select pr.*, qi.start_offset, qi.end_offset, qi.t qt, bk.t ct from pr joi
 {scored('pt', INTERNAL)}, {best('cand_doc desc, cand_chunk desc')}, {matched('tp')}""",
         "select doc_id, (h::decimal(7,0) / 100)::decimal(5,2) similarity_percent from mp",
     ),
+    "reindexed_bank": with_(
+        f"""dd as (select doc_id, case when doc_id % 4 = 0 then substr(text, 1, length(text) // 2) else text end as text from documents),
+rf as (with documents as (select * from dd), {TOKENS}, {fragments('f', BANK)} select * from f)""",
+        "select doc_id, chunk_ix, start_offset, end_offset, sha256(t) content_hash from rf",
+    ),
     "docx_round_trip": rf"""
 with l as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
   {strip(r"regexp_replace(x, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')")}), lambda x: x <> '') p from documents),

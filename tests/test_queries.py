@@ -16,7 +16,7 @@ FAST = [
     "bank_chunks", "normalized_text", "internal_percent", "filtered_text", "style_score", "search_queries", "page_text",
     "recent_documents", "login_lookup", "merged_sessions", "web_excerpt", "upload_validation", "internal_pairs", "web_pairs",
     "rls_reports", "rls_certificates", "resolved_owners", "available_students", "document_rows", "issued_certificates",
-    "institution_percent", "active_certificates", "page_text_planted", "certificate_paths", "certificate_search_facets", "asof_percent", "replaced_findings", "search_results", "web_candidates", "searched_percent", "job_states", "check_violations", "default_orders", "report_web_findings",
+    "institution_percent", "active_certificates", "page_text_planted", "docx_round_trip", "reindexed_bank", "certificate_paths", "certificate_search_facets", "asof_percent", "replaced_findings", "search_results", "web_candidates", "searched_percent", "job_states", "check_violations", "default_orders", "report_web_findings",
 ]
 
 
