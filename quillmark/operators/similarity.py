@@ -144,22 +144,49 @@ def within_reach(query: DataFrame, candidate: DataFrame, s: Scoring, index: Data
     return pairs.select("q1", "q2", "c1", "c2", *[F.col(x).cast("long").alias(x) for x in ("c", "p", "k")], "sure", F.expr(f"({n}) / cast({d} as double)").alias("highest"))
 
 
-def _phrases(words: str, size: int) -> str:
-    """SQL for the phrases of ``size`` words that begin at every fifth word (all words, if there are fewer)."""
+#: Words of a run that every phrase has within: the inner ones of the shortest, whatever its first and last may be part of.
+INNER_WORDS = min(PHRASE_SIZES) - 2
+
+
+def _runs(words: str, start: str) -> str:
+    return "xxhash64(" + ", ".join(f"{words}[{start} + {k}]" for k in range(INNER_WORDS)) + ")"
+
+
+def with_inner_runs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``q_inner``: by phrase, a hash of the words that a candidate must have in a run to contain it."""
+    each = f"transform(sequence(0, (size(__w) - {min(PHRASE_SIZES)}) div {PHRASE_STEP}), i -> {_runs('__w', f'i * {PHRASE_STEP} + 1')})"
+    made = f"case when size(__w) < {PHRASE_LEAST_WORDS} then cast(array() as array<bigint>) else {each} end"
+    return rows.withColumn("__w", F.split(text, " ")).withColumn("q_inner", F.expr(made)).drop("__w")
+
+
+def with_runs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``c_runs``: the distinct hashes of all runs of INNER_WORDS words."""
+    each = f"array_distinct(transform(sequence(0, size(__w) - {INNER_WORDS}), i -> {_runs('__w', 'i')}))"
+    made = f"case when size(__w) < {INNER_WORDS} then cast(array() as array<bigint>) else {each} end"
+    return rows.withColumn("__w", F.split(text, " ")).withColumn("c_runs", F.expr(made)).drop("__w")
+
+
+def _contained(words: str, size: int, candidate: str, hashed: bool) -> str:
+    """SQL that tells whether a phrase of ``size`` words that begins at a fifth word (all words, if there are fewer) is contained.
+
+    The text is looked through for phrases only whose inner words the candidate has.
+    """
     last = f"greatest(size({words}) - {size}, 0)"
-    return (
-        f"transform(sequence(0, {last} div {PHRASE_STEP}), i -> "
-        f"array_join(slice({words}, i * {PHRASE_STEP} + 1, {size}), ' '))"
-    )
+    known = "array_contains(c_runs, q_inner[i]) and " if hashed else ""
+    phrase = f"array_join(slice({words}, i * {PHRASE_STEP} + 1, {size}), ' ')"
+    return f"exists(sequence(0, {last} div {PHRASE_STEP}), i -> {known}contains({candidate}, {phrase}))"
 
 
 def with_bonus(pairs: DataFrame, s: Scoring, chunk: str = "q_text", candidate: str = "c_text") -> DataFrame:
-    """``pairs`` with ``bonus``, in percent, for the longest phrase of the chunk that the candidate's text contains."""
+    """``pairs`` with ``bonus``, in percent, for the longest phrase of the chunk that the candidate's text contains.
+
+    Where pairs have ``q_inner`` and ``c_runs``, these spare most looks at the text.
+    """
+    hashed = {"q_inner", "c_runs"} <= set(pairs.columns)
     pairs = pairs.withColumn("__w", F.split(chunk, " "))
     bonus = F.lit(0)
     for size, points in reversed(list(zip(PHRASE_SIZES, s.bonus, strict=True))):
-        found = F.expr(f"exists({_phrases('__w', size)}, x -> contains({candidate}, x))")
-        bonus = F.when(found, points).otherwise(bonus)
+        bonus = F.when(F.expr(_contained("__w", size, candidate, hashed)), points).otherwise(bonus)
     return pairs.withColumn("bonus", F.when(F.size("__w") < PHRASE_LEAST_WORDS, 0).otherwise(bonus)).drop("__w")
 
 
@@ -186,13 +213,13 @@ def contenders(pairs: DataFrame, s: Scoring) -> DataFrame:
 
 
 def asked_classes(query: DataFrame) -> DataFrame:
-    """Classes that are asked about (as ``classes`` gives them), with their needs and shingles, written once."""
-    return stored(hashed(with_needs(query, "q_text"), "q_text"))
+    """Classes that are asked about (as ``classes`` gives them), with their needs, shingles and inner runs, written once."""
+    return stored(with_inner_runs(hashed(with_needs(query, "q_text"), "q_text"), "q_text"))
 
 
 def known_classes(candidate: DataFrame) -> DataFrame:
-    """Classes of candidates with their shingles, written once."""
-    return stored(hashed(candidate, "c_text"))
+    """Classes of candidates with their shingles and runs, written once."""
+    return stored(with_runs(hashed(candidate, "c_text"), "c_text"))
 
 
 def class_scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only: bool) -> DataFrame:
@@ -208,7 +235,7 @@ def scores(query: DataFrame, candidate: DataFrame, s: Scoring, best_only: bool,
     pairs = within_reach(query, candidate, s, index)
     if best_only:
         pairs = contenders(pairs, s)
-    pairs = pairs.join(query.select("q1", "q2", "q_text"), ["q1", "q2"]).join(candidate.select("c1", "c2", "c_text"), ["c1", "c2"])
+    pairs = pairs.join(query.select("q1", "q2", "q_text", "q_inner"), ["q1", "q2"]).join(candidate.select("c1", "c2", "c_text", "c_runs"), ["c1", "c2"])
     return scored(with_bonus(pairs, s), s).select("q1", "q2", "c1", "c2", "k", "bonus", "hundredths")
 
 
