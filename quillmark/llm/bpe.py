@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.bpe_model import MergeModel
-from quillmark.llm.runtime import slices
+from quillmark.llm.runtime import held, lean, slices
 
 #: Pieces that a worker remembers before it forgets those met once.
 PIECES = 200_000
 #: Bytes of text encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # The pre-token pattern of this vocabulary, with white space spelled out.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -167,11 +167,13 @@ def ragged(start: np.ndarray, count: np.ndarray, values: np.ndarray) -> np.ndarr
     return values[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
 
+@held
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@held
 @lru_cache(2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = encoder(path).model.bytes
@@ -198,7 +200,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return rows.mapInArrow(lean(run, keep=True), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -219,7 +221,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 )
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+    return encoded.select(id_col, "ids").mapInArrow(lean(run, keep=True), f"`{id_col}` {kind}, ids array<int>, text string")
 
 
 def round_trip(
@@ -256,4 +258,4 @@ def round_trip(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     ids_kind = "binary" if packed else "array<int>"
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids {ids_kind}, text string")
+    return rows.mapInArrow(lean(run, keep=True), f"`{id_col}` {kind}, n_tokens bigint, ids {ids_kind}, text string")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.runtime import checkpoint
 
+#: Edges that a task writes, about.
+EDGES = 250_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -18,7 +21,8 @@ def connected(edges: DataFrame) -> DataFrame:
     In turn, each id's larger neighbours are tied to its smallest neighbour, and
     its smaller neighbours and itself likewise, until nothing changes. Neighbours
     are never gathered: only their minimum is, so hubs pre-aggregate, and each
-    round is written to the shared checkpoint folder. Null ends, loops and
+    round is written to the shared checkpoint folder, in as many parts as its
+    edges need: a round makes no more edges than it got. Null ends, loops and
     repeated edges count for nothing; no edges give no rows.
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
@@ -31,7 +35,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.union(least).distinct())
+        parts = -(-int(before[0]) // EDGES)
+        edges = checkpoint(small.union(least).distinct().coalesce(parts))
         after = _state(edges)
         if after == before:
             break

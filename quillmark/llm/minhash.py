@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.bytekernel import FOLDED_WORDS, mix, window_hashes, words
 from quillmark.llm.components import connected
-from quillmark.llm.runtime import checkpoint, plainly_named, slices, stored
+from quillmark.llm.runtime import checkpoint, lean, plainly_named, slices, stored
 
 WORDS_A_SHINGLE, SIMILARITY = 5, 0.8
 #: Coordinates, and those of a band. Two documents at 0.8 share none of 25 bands of 5 once in 20,000 cases.
@@ -141,7 +141,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "same", "signature", "brief"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, same binary, signature binary, brief binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, same binary, signature binary, brief binary")
 
 
 def _similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -168,7 +168,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 yield part.select(["a", "b"]).filter(pa.array(_similarities(left, right) >= similarity))
 
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,37 @@ def plainly_named(df: DataFrame, own: tuple[str, ...]) -> DataFrame:
     return df.toDF(*[c if c in own else f"c{i}" for i, c in enumerate(df.columns)])
 
 
+#: Caches that a worker process keeps between its tasks, by the function that fills them.
+HELD: list[Callable] = []
+
+
+def held(cached: Callable) -> Callable:
+    """Marks a function with an ``lru_cache`` as one whose values go when a task of another operator begins."""
+    HELD.append(cached)
+    return cached
+
+
+def lean(run: Callable, keep: bool = False) -> Callable:
+    """``run`` for ``mapInArrow``, so that a worker process, which tasks of all operators share, holds what this one needs.
+
+    What earlier tasks cached goes first, unless this operator is the one that uses it (``keep``). Arrow's pool keeps
+    the pages of what it has freed, a hundred megabytes after batches of texts; they are given back after each batch.
+    """
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep and any(f.cache_info().currsize for f in HELD):
+            for f in HELD:
+                f.cache_clear()
+            gc.collect()
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return leanly
+
+
 #: A key with more than this share of all rows is hot; there can be no more than its inverse of them.
 HOT_SHARE = 1e-4
 

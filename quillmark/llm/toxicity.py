@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.bytekernel import FOLDED_WORDS, SPACE, mix, words
-from quillmark.llm.runtime import checkpoint, plainly_named, slices
+from quillmark.llm.runtime import checkpoint, lean, plainly_named, slices
 
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 4000
@@ -336,7 +336,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             some = np.flatnonzero(count.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, count[0, some], count[1, some])], names=["bucket", "other", "toxic"])
 
-    found = rows.select("text", "toxic").mapInArrow(run, "bucket bigint, other bigint, toxic bigint")
+    found = rows.select("text", "toxic").mapInArrow(lean(run), "bucket bigint, other bigint, toxic bigint")
     found = found.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
     toxic, other = np.zeros(both), np.zeros(both)
     toxic[found["bucket"]], other[found["bucket"]] = found["toxic"], found["other"]
@@ -371,7 +371,7 @@ def _training_windows(rows: DataFrame, tables: tuple) -> list[tuple[str, int]]:
                     label.append(toxic)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(label, pa.int32())], names=["window", "toxic"])
 
-    return [(r[0], r[1]) for r in rows.select("text", "toxic").mapInArrow(run, "window binary, toxic int").collect()]
+    return [(r[0], r[1]) for r in rows.select("text", "toxic").mapInArrow(lean(run), "window binary, toxic int").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -431,7 +431,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -444,4 +444,4 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array(_scores(batch.column(place), shared.value) < least))
 
     rows = plainly_named(docs, ("text",))
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(lean(run), rows.schema).toDF(*docs.columns)
