@@ -325,3 +325,26 @@ def test_scopes_go_through_the_document(spark):
     seen = lambda *who: sorted(r.code for r in access.visible_through(certificates, parents, *who).collect())
     assert seen(7, "STUDENT") == ["a"] and seen(1, "TEACHER", False, 3) == ["a", "b", "c"] and seen(1, "TEACHER", False, None) == []
     assert seen(1, "ADMIN", True) == ["a", "b", "c", "d"] and seen(9, "STUDENT", True) == ["d"]
+
+
+def test_a_passage_of_many_texts_gives_each_its_best_only(spark, monkeypatch):
+    """Texts that share one passage and nothing else: each gets the newest of its best, and no row for every two of them."""
+    rng = random.Random(5)
+    passage = " ".join(f"pasaje{i}" for i in range(13))
+    texts = []
+    for i in range(120):
+        own = [f"w{i}x{j}" for j in range(rng.choice((40, 41, 42)))]
+        at = rng.randrange(len(own))
+        texts.append((i, 0, " ".join([*own[:at], passage, *own[at:]])))
+    monkeypatch.setattr(similarity, "LEAST_FREQUENT", 16)
+    rows = spark.createDataFrame(texts, "doc_id bigint, chunk_ix int, normalized_text string")
+    c = rows.select(F.col("doc_id").alias("cand_doc"), F.col("chunk_ix").alias("cand_chunk"), "normalized_text")
+    both = similarity.sides(rows, c, "doc_id", "cand_doc", (F.col("cand_doc"), F.col("cand_chunk")))
+    found = similarity.scores(both, INTERNAL, True).persist()
+    assert 0 < found.count() <= len(texts)
+    best = {r.doc_id: (r.cand_doc, r.hundredths) for r in similarity.best_of_others(found, rows, c, "cand_doc", "cand_chunk").collect()}
+    pairs = similarity.every_pair(similarity.scores(both, INTERNAL, False), rows, c).where("doc_id <> cand_doc").collect()
+    want: dict = {}
+    for r in pairs:
+        want[r.doc_id] = max(want.get(r.doc_id, (0, 0)), (r.hundredths, r.cand_doc))
+    assert best == {d: (c, h) for d, (h, c) in want.items()}
